@@ -6,7 +6,7 @@ import importlib
 
 from landmarkflow.plans.registry import QUERIES
 
-MODULES = ("queries_core",)
+MODULES = ("queries_core", "queries_features")
 
 
 def all_queries() -> dict:

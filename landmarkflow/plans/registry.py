@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,7 +39,10 @@ class Context:
         self.spark = spark
         self.fx = Fixture(spark, sf_dir)
         self.cfg = FIXTURE_CONFIG
-        self.wf = Workflow(self.fx.clinical, self.cfg)
+
+    @cached_property
+    def wf(self) -> Workflow:
+        return Workflow(self.fx.clinical, self.cfg)
 
     @property
     def all_signals(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core",)
+MODULES = ("core", "features")
 
 
 def all_oracles() -> dict:

@@ -86,14 +86,14 @@ cte("trail", f"SELECT stay_id, uo_hour, {_frames}\nFROM dense")
 cte("uo_stages", """
 SELECT t.stay_id, uo_hour, weight_kg, uo_6h_ml, uo_12h_ml, uo_24h_ml, n_obs_6h, n_obs_12h,
   n_obs_24h,
-  CASE WHEN n_obs_6h >= 1 THEN uo_6h_ml / (weight_kg * 6) END AS uo_rate_6h,
-  CASE WHEN n_obs_12h >= 1 THEN uo_12h_ml / (weight_kg * 12) END AS uo_rate_12h,
-  CASE WHEN n_obs_24h >= 1 THEN uo_24h_ml / (weight_kg * 24) END AS uo_rate_24h,
+  CASE WHEN n_obs_6h >= 2 THEN uo_6h_ml / (weight_kg * 6) END AS uo_rate_6h,
+  CASE WHEN n_obs_12h >= 2 THEN uo_12h_ml / (weight_kg * 12) END AS uo_rate_12h,
+  CASE WHEN n_obs_24h >= 3 THEN uo_24h_ml / (weight_kg * 24) END AS uo_rate_24h,
   CASE WHEN weight_kg IS NULL THEN NULL
-       WHEN n_obs_12h >= 1 AND uo_12h_ml = 0 THEN 3
-       WHEN n_obs_24h >= 1 AND uo_24h_ml / (weight_kg * 24) < 0.3 THEN 3
-       WHEN n_obs_12h >= 1 AND uo_12h_ml / (weight_kg * 12) < 0.5 THEN 2
-       WHEN n_obs_6h >= 1 AND uo_6h_ml / (weight_kg * 6) < 0.5 THEN 1 ELSE 0 END
+       WHEN n_obs_12h >= 3 AND uo_12h_ml = 0 THEN 3
+       WHEN n_obs_24h >= 3 AND uo_24h_ml / (weight_kg * 24) < 0.3 THEN 3
+       WHEN n_obs_12h >= 2 AND uo_12h_ml / (weight_kg * 12) < 0.5 THEN 2
+       WHEN n_obs_6h >= 2 AND uo_6h_ml / (weight_kg * 6) < 0.5 THEN 1 ELSE 0 END
     AS kdigo_uo_stage
 FROM trail t JOIN weight w ON w.stay_id = t.stay_id""")
 cte("carried", """
