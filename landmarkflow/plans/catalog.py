@@ -6,7 +6,7 @@ import importlib
 
 from landmarkflow.plans.registry import QUERIES
 
-MODULES = ("queries_core", "queries_features")
+MODULES = ("queries_core", "queries_features", "queries_evaluation")
 
 
 def all_queries() -> dict:

@@ -346,10 +346,7 @@ def _(c):
 
 @query("q13_feature_drift", 6)
 def _(c):
-    lineitem = c.fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice",
-                                             "l_discount", "l_tax")
-    rows = c.fx.scored.select("l_orderkey", "l_linenumber", "split", "p", "y").join(
-        lineitem, ["l_orderkey", "l_linenumber"])
+    rows = c.fx.scored
     rows = rows.withColumn("sparse", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_tax"))
                            ).withColumn("empty_in_test", F.when(F.col("split") != "test",
                                                                 F.col("l_tax")))

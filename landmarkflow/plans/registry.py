@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from landmarkflow.plans.workflow import Workflow
 from landmarkflow.sources.fixtures import FIXTURE_CONFIG, Fixture
+from landmarkflow.sources.tables import run_folder
 
 QUERIES = {}
 
@@ -42,7 +43,7 @@ class Context:
 
     @cached_property
     def wf(self) -> Workflow:
-        return Workflow(self.fx.clinical, self.cfg)
+        return Workflow(self.fx.clinical, self.cfg, run_folder(self.spark))
 
     @property
     def all_signals(self) -> DataFrame:

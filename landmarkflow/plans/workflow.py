@@ -1,8 +1,8 @@
 """The whole run, from staged tables to the feature matrix, as one object.
 
-Every step is a lazy DataFrame. Given a shared ``folder``, each named step is
-written there and read back, so later steps start from a table: that cuts the
-lineage, is not lost with an executor, and is computed once.
+Every step is a lazy DataFrame. Given a shared ``folder``, the steps in ``keep``
+are written there and read back, so later steps start from a table: that cuts
+the lineage, is not lost with an executor, and is computed once.
 """
 
 from __future__ import annotations
@@ -24,15 +24,23 @@ from landmarkflow.sources.signals import signal_map
 from landmarkflow.sources.tables import materialize, write_report
 
 
+SHARED_STEPS = ("ratio_stages", "onset", "cohort", "landmarks")  # read by several steps
+
+
 class Workflow:
-    def __init__(self, tables, cfg: Config = Config(), folder: str | None = None):
+    """``keep`` None writes every step; the default writes those read more than once."""
+
+    def __init__(self, tables, cfg: Config = Config(), folder: str | None = None,
+                 keep=SHARED_STEPS):
+        self.keep = keep
         self.t = tables
         self.cfg = cfg
         self.folder = folder
         self.spark = tables.icustays.sparkSession
 
     def _step(self, name: str, df: DataFrame) -> DataFrame:
-        return materialize(df, name, self.folder) if self.folder else df
+        written = self.folder and (self.keep is None or name in self.keep)
+        return materialize(df, name, self.folder) if written else df
 
     # --- concepts -----------------------------------------------------------
     @cached_property

@@ -158,12 +158,13 @@ class Fixture:
     def scored(self) -> DataFrame:
         """Scored rows with 50 tied score values and patient attributes."""
         year = F.year("o_orderdate")
+        extra = ("l_linestatus", "l_extendedprice", "l_discount", "l_tax")
         rows = (self.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
-                                              "l_quantity", "l_shipdate")
+                                              "l_quantity", *extra)
                 .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
                       F.col("l_orderkey") == F.col("o_orderkey")))
         return rows.select(
-            "l_orderkey", "l_linenumber", F.col("o_custkey").alias("subject_id"),
+            "l_orderkey", "l_linenumber", *extra, F.col("o_custkey").alias("subject_id"),
             F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
             (F.col("l_quantity") / 51.0).alias("p"),
             F.when(year <= 1998, "train").when(year == 1999, "val").otherwise("test")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,13 +41,27 @@ def values_column(values) -> "F.Column":
     return F.array(*[F.lit(v) for v in values])
 
 
+_LOCAL_DIR = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for written intermediates: the one the cluster names."""
+    """Shared folder for written intermediates: the one ``spark.checkpoint.dir`` names.
+
+    Only a local session without the setting gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder every executor "
-                         "can reach before materialising tables")
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can "
+                         "reach before materialising tables")
+    return _LOCAL_DIR.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A fresh folder under :func:`work_dir`, so runs never overwrite each other."""
+    return f"{work_dir(spark)}/landmarkflow-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core", "features")
+MODULES = ("core", "features", "evaluation")
 
 
 def all_oracles() -> dict:
