@@ -1,0 +1 @@
+"""Importances, contributions, score sheets and case selection as tables."""

@@ -1,0 +1 @@
+"""Scorecards, additive models and boosted trees on MLlib."""
