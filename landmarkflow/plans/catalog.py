@@ -6,7 +6,7 @@ import importlib
 
 from landmarkflow.plans.registry import QUERIES
 
-MODULES = ("queries_core", "queries_features", "queries_evaluation")
+MODULES = ("queries_core", "queries_features", "queries_evaluation", "queries_models")
 
 
 def all_queries() -> dict:

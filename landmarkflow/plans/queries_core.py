@@ -4,24 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landmarkflow.functions.scalars import bin_index, logit, range_label_column, safe_ratio
+from landmarkflow.functions.timefns import HOUR_US, hour_boundaries, hour_floor, hours, micros
 from landmarkflow.operators import cohort as co
 from landmarkflow.operators import concepts as cc
 from landmarkflow.operators import grid as gr
 from landmarkflow.operators import joins as jn
-from landmarkflow.operators import labels as lb
 from landmarkflow.operators import rolling as ro
 from landmarkflow.operators.windows import trailing_min, trailing_sums
-from landmarkflow.functions.timefns import HOUR_US, hour_boundaries, hour_floor, hours, micros
-from landmarkflow.functions.scalars import bin_index, logit, range_label_column, safe_ratio
 from landmarkflow.plans.registry import query
 from landmarkflow.sources import tables as tb
-from landmarkflow.sources.clinical import cast_columns
+from landmarkflow.sources.clinical import cast_columns, stage_table
 from landmarkflow.sources.signals import signal_map
+from landmarkflow.sources.tables import run_folder
 
 LM_KEYS = ("stay_id", "landmark_time")
 
 
 # --- sources -------------------------------------------------------------------
+@query("s1_staged_csv", 6)
+def _(c):
+    """Stays written as raw gzip CSV, scanned with the fixed layout, staged as Parquet."""
+    stays = c.fx.icustays.withColumn("last_careunit", F.lit("")).withColumn(
+        "unused", F.lit("dropped by the layout"))
+    raw = run_folder(c.spark)
+    text = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    (stays.withColumn("intime", F.date_format("intime", text))
+     .withColumn("outtime", F.date_format("outtime", text)).write.option("header", True)
+     .option("compression", "gzip").csv(f"{raw}/icu/icustays.csv.gz"))
+    return stage_table(c.spark, raw, "icustays", f"{raw}/staged")
+
+
+@query("s3_parquet_sink", 9)
+def _(c):
+    out = f"{run_folder(c.spark)}/creatinine"
+    tb.write_parquet(c.wf.creatinine, out)
+    return tb.read_parquet(c.spark, out)
+
+
+@query("s5_report_sink", 6)
+def _(c):
+    report = c.fx.events.groupBy("event_type").agg(F.count("*").alias("n"),
+                                                   F.round(F.sum("value"), 2).alias("total"))
+    out = f"{run_folder(c.spark)}/report"
+    tb.write_report(report, out)
+    return c.spark.read.csv(out, header=True, schema="event_type string, n bigint, total double")
+
+
+@query("s8_materialised_table")
+def _(c):
+    folder = run_folder(c.spark)
+    tb.materialize(c.wf.stay_landmarks.limit(0), "landmarks", folder)  # replaced next
+    return tb.materialize(c.wf.stay_landmarks.select(*LM_KEYS), "landmarks", folder)
+
+
 @query("s2_cast_on_stage")
 def _(c):
     text = c.fx.table("orders").select(

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landmarkflow import config as C
-from landmarkflow.functions.timefns import micros
 from landmarkflow.operators import cohort as co
 from landmarkflow.operators import drift, exposure, importance, previews, qa, splits
 from landmarkflow.operators import features as ft
-from landmarkflow.operators import grid as gr
 from landmarkflow.operators import labels as lb
 from landmarkflow.operators import rolling as ro
 from landmarkflow.plans.registry import query
@@ -173,6 +171,12 @@ def _(c):
     return c.wf.family("scorecard_augmented_v2")
 
 
+@query("c4_features", 6)
+def _(c):
+    """The whole feature chain, as the widest bedside family."""
+    return c.wf.family("scorecard_augmented")
+
+
 @query("p18_feature_columns", 6)
 def _(c):
     family = c.wf.family("scorecard_core")

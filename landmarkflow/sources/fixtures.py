@@ -158,9 +158,9 @@ class Fixture:
     def scored(self) -> DataFrame:
         """Scored rows with 50 tied score values and patient attributes."""
         year = F.year("o_orderdate")
-        extra = ("l_linestatus", "l_extendedprice", "l_discount", "l_tax")
+        extra = ("l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
         rows = (self.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
-                                              "l_quantity", *extra)
+                                              *extra)
                 .join(self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate"),
                       F.col("l_orderkey") == F.col("o_orderkey")))
         return rows.select(

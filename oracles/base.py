@@ -81,7 +81,7 @@ SELECT subject_id, hadm_id, stay_id, ts AS charttime,
        value
 FROM ev WHERE event_type IN ('view', 'click', 'error')""")
 cte("scored", """
-SELECT l_orderkey, l_linenumber, l_linestatus, l_extendedprice, l_discount, l_tax,
+SELECT l_orderkey, l_linenumber, l_linestatus, l_quantity, l_extendedprice, l_discount, l_tax,
        o_custkey AS subject_id,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity/51.0::DOUBLE AS p,
        CASE WHEN year(o_orderdate) <= 1998 THEN 'train' WHEN year(o_orderdate) = 1999 THEN 'val'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core", "features", "evaluation")
+MODULES = ("core", "features", "evaluation", "models")
 
 
 def all_oracles() -> dict:

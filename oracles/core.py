@@ -119,6 +119,14 @@ SELECT stay_id, subject_id, hadm_id, intime, outtime,
                          INTERVAL 6 HOUR)) AS landmark_time
 FROM icustays WHERE outtime - intime >= INTERVAL 30 HOUR""")
 # --- sources -------------------------------------------------------------------------
+oracle("s1_staged_csv", """
+SELECT subject_id, hadm_id, stay_id, first_careunit, NULL::VARCHAR AS last_careunit, intime,
+  outtime, los FROM icustays""", 6, "los")
+oracle("s3_parquet_sink", "SELECT * FROM cr", 9, "creatinine_mg_dl")
+oracle("s5_report_sink", """
+SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""", 6,
+       "total")
+oracle("s8_materialised_table", "SELECT stay_id, landmark_time FROM stay_lm")
 oracle("s2_cast_on_stage", """
 SELECT o_orderkey, o_orderdate AS placed_at,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS custkey,

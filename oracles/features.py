@@ -225,6 +225,11 @@ oracle("p17_feature_family", f"""
 SELECT {META}, {YS}, creatinine_max_24h, map_mean_12h, loop_diuretic_24h, fluid_input_ml_12h,
   glucose_std_24h FROM full_matrix""", 6,
        "creatinine_max_24h map_mean_12h fluid_input_ml_12h glucose_std_24h")
+oracle("c4_features", f"""
+SELECT {META}, {YS}, urine_output_ml_6h, creatinine_max_24h, map_mean_12h, hematocrit_max_24h,
+  loop_diuretic_24h, fluid_input_ml_12h, glucose_std_24h FROM full_matrix""", 6,
+       "urine_output_ml_6h creatinine_max_24h map_mean_12h hematocrit_max_24h "
+       "fluid_input_ml_12h glucose_std_24h")
 oracle("p18_feature_columns", """
 SELECT stay_id, landmark_time, age, urine_output_ml_6h, creatinine_max_24h, map_mean_12h,
   hematocrit_max_24h FROM full_matrix""", 6,
