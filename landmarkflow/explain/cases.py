@@ -14,19 +14,11 @@ CONTEXT = ("fluid_input_ml_12h", "glucose_std_24h", "age")
 TAIL = ("hours_since_icu_admit", *("subject_id", "stay_id", "landmark_time"))
 
 
-def _with_one(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame."""
-    one = F.lit(1)
-    return df.withColumn("_one", one).join(
-        F.broadcast(row.withColumn("_one", one)), "_one").drop("_one")
-
-
 def candidate_pool(scored: DataFrame, y: str = "y") -> DataFrame:
     """Positive rows, or all labelled rows when there is no positive."""
     rows = scored.filter(F.col(y).isNotNull())
-    has = rows.agg(F.max((F.col(y) == 1).cast("int")).alias("_has"))
-    pool = _with_one(rows, has)
-    return (pool.filter((F.col("_has") == 0) | (F.col(y) == 1))
+    has = rows.agg(F.max((F.col(y) == 1).cast("int"))).scalar()
+    return (rows.withColumn("_has", has).filter((F.col("_has") == 0) | (F.col(y) == 1))
             .withColumn("selection_pool", F.when(F.col("_has") == 1, "positive").otherwise("all"))
             .drop("_has"))
 
@@ -39,16 +31,15 @@ def measured_cases(scored: DataFrame, q: float = 0.90, reference: DataFrame | No
     reference model's ``p_reference``: then the distance counts both models.
     """
     pool = candidate_pool(scored)
-    target = exact_quantiles(pool, [], "p", [q]).select(F.col("quantile").alias("target_p"))
-    rows = _with_one(pool, target)
+    rows = pool.withColumn("target_p", exact_quantiles(pool, [], "p", [q])
+                           .select("quantile").scalar())
     d = F.abs(F.col("p") - F.col("target_p"))
     if reference is None:
         return rows.select("*", d.alias("distance_to_target"),
                            F.lit(None).cast("double").alias("agreement_gap"))
     rows = rows.join(reference.select(*keys, "p_reference"), list(keys))
-    ref = exact_quantiles(rows, [], "p_reference", [q]).select(
-        F.col("quantile").alias("target_p_reference"))
-    rows = _with_one(rows, ref)
+    rows = rows.withColumn("target_p_reference", exact_quantiles(
+        rows, [], "p_reference", [q]).select("quantile").scalar())
     d = d + 0.75 * F.abs(F.col("p_reference") - F.col("target_p_reference"))
     return rows.select("*", d.alias("distance_to_target"),
                        F.abs(F.col("p") - F.col("p_reference")).alias("agreement_gap"))

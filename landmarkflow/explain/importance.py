@@ -76,14 +76,12 @@ def permutation_importance(df: DataFrame, model: FittedModel, y: str, features=N
     def measure(frame):
         return auroc(model.score(frame).select(F.col(y).alias("y"), "p"))
 
-    one = F.lit(1).alias("_one")
-    base = measure(df).select(one, F.col("auroc").alias("auroc_full"))
+    base = measure(df).select("auroc").scalar()
     out = None
     for f in features or model.features:
-        part = measure(shuffled(df, f, keys, seed)).select(one, F.lit(f).alias("feature"),
-                                                           "auroc")
+        part = measure(shuffled(df, f, keys, seed)).select(F.lit(f).alias("feature"), "auroc")
         out = part if out is None else out.unionByName(part)
-    return out.join(F.broadcast(base), "_one").select(
+    return out.withColumn("auroc_full", base).select(
         "feature", "auroc_full", F.col("auroc").alias("auroc_shuffled"),
         (F.col("auroc_full") - F.col("auroc")).alias("importance"))
 

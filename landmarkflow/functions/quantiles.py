@@ -56,9 +56,9 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
 
 
 def _join(left: DataFrame, right: DataFrame, by) -> DataFrame:
-    """Join on the group, or with the single summary row when there is none."""
+    """Join on the group, or read the single summary row when there is none."""
     if by:
         return left.join(right, by)
-    one = F.lit(1)
-    return left.withColumn("_one", one).join(
-        F.broadcast(right.withColumn("_one", one)), "_one").drop("_one")
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_row", row).select(
+        *left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns])

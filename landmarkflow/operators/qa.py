@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,13 +78,13 @@ def invariants(cohort: DataFrame, lm: DataFrame, prevalence: DataFrame, leakage:
     A missing number fails its rule, and an empty rolling table does too: no
     rows is no proof that nothing leaks.
     """
-    one = reduce(lambda a, b: a.join(F.broadcast(b), "_one"), [
-        df.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-        for p, df in (("c", cohort), ("l", lm), ("y", prevalence), ("k", leakage),
-                      ("b", coverage))])
+    parts = {"c": cohort, "l": lm, "y": prevalence, "k": leakage, "b": coverage}
+    one = cohort.sparkSession.range(1).select(*[
+        df.select(F.struct(*df.columns)).scalar().alias(p) for p, df in parts.items()])
 
     def v(name):
-        return F.col(name).cast("double")
+        part, column = name.split("_", 1)
+        return F.col(f"{part}.{column}").cast("double")
 
     rules = [("cohort is not empty", v("c_n_stays"), v("c_n_stays") > 0),
              ("cohort has patients", v("c_n_patients"), v("c_n_patients") > 0),

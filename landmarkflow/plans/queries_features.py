@@ -269,7 +269,10 @@ def _(c):
         F.lit("aki_stage1_24h").alias("task"), F.lit("combined").alias("family"),
         F.lit("mean").alias("model"), "term", "importance")
     rollup = importance.aggregate_importance(importance.rank_terms(scores))
-    return ft.minimal_family(matrix, rollup, 3).drop("ethnicity", "anchor_year_group")
+    family = ft.minimal_family(matrix, rollup, 3)
+    chosen = [f for f in candidates if f in family.columns]
+    return family.select("stay_id", "landmark_time", *[F.col(f).cast("double") for f in chosen]
+                         ).unpivot(["stay_id", "landmark_time"], chosen, "feature", "value")
 
 
 # --- QA, splits, drift ------------------------------------------------------------------------

@@ -94,13 +94,13 @@ def stage_table(spark: SparkSession, root: str, name: str, out: str,
                 partitions: int | None = None) -> DataFrame:
     """Write one table as Parquet, spread evenly over files, and read it back.
 
-    Rows are spread round-robin, not by patient: a patient holding a third of
-    the rows would otherwise fill one file.
+    Rows are rebalanced to even files whatever their patient: one patient
+    holding a third of the rows would otherwise fill one file.
     """
     from landmarkflow.sources.tables import write_parquet
 
     df = read_table(spark, root, name)
-    df = df.repartition(partitions) if partitions else df.repartition()
+    df = df.repartition(partitions) if partitions else df.hint("rebalance")
     write_parquet(df, f"{out}/{name}")
     return spark.read.parquet(f"{out}/{name}")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from landmarkflow.sources.fixtures import FIXTURE_CONFIG
 from landmarkflow.sources.signals import signal_rows
 from oracles.base import assemble, cte
 
@@ -145,6 +146,8 @@ SELECT * FROM (VALUES (0, 'icustays', (SELECT count(*) FROM icustays)),
   (1, 'labevents', (SELECT count(*) FROM labevents)),
   (2, 'chartevents', (SELECT count(*) FROM chartevents)), (3, 'omr', NULL),
   (4, 'diagnoses_icd', (SELECT count(*) FROM diagnoses_icd))) AS t(position, table_name, n_rows)""")
+oracle("s11_run_columns", f"""
+SELECT count(*) AS n_stays, '{FIXTURE_CONFIG.fingerprint()}' AS config_hash FROM icustays""")
 # --- projection, filter, predicate ------------------------------------------------------
 cte("first_stay", """
 SELECT * FROM icustays

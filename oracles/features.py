@@ -270,6 +270,16 @@ SELECT r.*, n <= 10 AS selected, CASE WHEN n <= 10 THEN n END AS selected_rank,
 FROM (SELECT *, row_number() OVER (ORDER BY mean_abs_importance DESC, n_artifacts DESC,
         best_rank, feature) AS n FROM rollup_) x JOIN rollup_ r ON r.feature = x.feature""",
        6, "mean_abs_importance max_abs_importance")
+_cand = ("creatinine_max_24h", "map_mean_12h", "glucose_std_24h", "fluid_input_ml_12h",
+         "urine_output_ml_6h")
+cte("minimal_long", " UNION ALL ".join(
+    f"SELECT stay_id, landmark_time, '{f}' AS feature, {f}::DOUBLE AS value, y_stage1_24h "
+    f"FROM full_matrix" for f in _cand))
+oracle("k4_minimal_family", """
+SELECT stay_id, landmark_time, feature, value FROM minimal_long WHERE feature IN (
+  SELECT feature FROM minimal_long GROUP BY feature
+  ORDER BY abs(avg(value) FILTER (y_stage1_24h = 1)) DESC NULLS LAST, feature LIMIT 3)""", 6,
+       "value")
 # --- summaries -----------------------------------------------------------------------------------
 oracle("a11_entity_counts", """
 SELECT count(*) AS n_rows, count(DISTINCT stay_id) AS n_stays,
