@@ -80,7 +80,7 @@ def fit_bins(df: DataFrame, features, edges: dict, y: str, profiles: dict | None
         "feature string, kind string, bin_index int, level_label string, lower_bound double, "
         "upper_bound double, reference boolean, term_name string")
     n = F.coalesce("train_n", F.lit(0))
-    return F.broadcast(levels).join(counts, ["feature", "bin_index"], "left").select(
+    return levels.join(counts, ["feature", "bin_index"], "left").select(
         "feature", "kind", "bin_index", "level_label",
         F.col("level_label").alias("range_display"), "lower_bound", "upper_bound", "reference",
         "term_name", n.alias("train_n"), F.coalesce("train_events", F.lit(0)).alias("train_events"),
