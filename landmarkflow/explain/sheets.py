@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WHOLE = Window.partitionBy(F.lit(1))  # term tables: tens of rows
+def _whole():
+    """Window over a whole term table: tens of rows."""
+    return Window.partitionBy(F.lit(1))
 
 
 def _points(value, counted):
     """Integer points: value over the smallest non-zero |value|, half to even."""
-    smallest = F.min(F.when(counted & (value != 0), F.abs(value))).over(WHOLE)
+    smallest = F.min(F.when(counted & (value != 0), F.abs(value))).over(_whole())
     return F.bround(value / F.coalesce(smallest, F.lit(1.0))).cast("int")
 
 
@@ -66,7 +68,7 @@ def binned_sheet(levels: DataFrame) -> DataFrame:
         F.exp(coef).alias("odds_ratio_vs_reference"), "train_n", "train_events",
         "train_event_rate", points.alias("points_vs_reference"))
     top = F.max(F.abs("points_vs_reference")).over(Window.partitionBy("feature"))
-    order = WHOLE.orderBy(F.desc("_top"), "feature", F.desc("reference"),
+    order = _whole().orderBy(F.desc("_top"), "feature", F.desc("reference"),
                           F.desc("points_vs_reference"), "level_label")
     return (rows.withColumn("_top", top).withColumn("sheet_position", F.row_number().over(order))
             .drop("_top"))
