@@ -60,7 +60,7 @@ def shuffled(df: DataFrame, feature: str, keys, seed: int = 42) -> DataFrame:
 
     def numbered(frame, salt):
         tagged = frame.withColumn("_h", order(salt)).withColumn(
-            "_b", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+            "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
         return rank_in_order(tagged, ["_b"], ["_b"], [F.col("_h"), *map(F.col, keys)], "_place"
                              ).drop("_h", "_b")
 

@@ -6,7 +6,7 @@ Everything here is independent of the session time zone: ``date_trunc`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
@@ -17,9 +17,19 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 def micros(c) -> Column:
-    """Microseconds since 1970-01-01 as an exact bigint."""
+    """Microseconds since 1970-01-01 as an exact bigint.
+
+    In a UTC session a cast does it. Elsewhere the cast would shift or merge
+    local times around clock changes, so the parts are added up instead.
+    """
     c = _col(c)
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC:
+        return F.unix_micros(c.cast("timestamp"))
     second = (F.extract(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("bigint")
     return (F.unix_date(c.cast("date")).cast("bigint") * F.lit(DAY_US)
             + F.hour(c).cast("bigint") * F.lit(HOUR_US)

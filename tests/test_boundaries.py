@@ -168,3 +168,27 @@ def test_fingerprint_is_stable_and_sensitive():
     assert Config().fingerprint() == Config().fingerprint()
     assert Config().fingerprint() != Config(seed=1).fingerprint()
     assert len(Config().fingerprint()) == 16
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Australia/Lord_Howe"])
+def test_times_do_not_depend_on_the_session_zone(spark, zone):
+    """Local times around a clock change stay apart and keep their distance."""
+    from landmarkflow.functions.timefns import hour_boundaries, hour_floor, micros
+
+    at = [datetime(2024, 3, 10, 1, 59, 59, 999999), datetime(2024, 3, 10, 2, 30),
+          datetime(2024, 11, 3, 1, 15), datetime(1969, 12, 31, 23, 0, 0, 1)]
+    df = spark.createDataFrame([(t,) for t in at], "t timestamp_ntz")
+
+    def measured():
+        return df.select(micros("t").alias("us"), hour_floor("t").alias("h"), hour_boundaries(
+            F.lit(T0).cast("timestamp_ntz"), "t").alias("n")).collect()
+
+    want = measured()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = measured()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
+    epoch = datetime(1970, 1, 1)
+    assert [r["us"] for r in want] == [(t - epoch) // timedelta(microseconds=1) for t in at]
