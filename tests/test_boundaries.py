@@ -181,7 +181,7 @@ def test_times_do_not_depend_on_the_session_zone(spark, zone):
 
     def measured():
         return df.select(micros("t").alias("us"), hour_floor("t").alias("h"), hour_boundaries(
-            F.lit(T0).cast("timestamp_ntz"), "t").alias("n")).collect()
+            F.expr("TIMESTAMP_NTZ '2024-01-01 00:30:00'"), "t").alias("n")).collect()
 
     want = measured()
     spark.conf.set("spark.sql.session.timeZone", zone)
