@@ -1,7 +1,7 @@
 """Quality rules: base limits, then robust multivariate outliers per language and source.
 
 Each group gets a regularised minimum-covariance-determinant estimate: starting
-from medians, concentration steps keep the share ``support`` of rows that are
+from quartiles, concentration steps keep the share ``support`` of rows that are
 nearest by Mahalanobis distance and re-estimate mean and covariance from them.
 A step is one aggregation over a small table of statistics; per group it passes
 on sums per distance bin, so no group is gathered anywhere.
@@ -120,13 +120,12 @@ def fit_robust(rows: DataFrame, params: RobustParams = RobustParams(),
     writes its few parameters, so a lost executor never restarts the chain.
     """
     folder = folder or run_folder(rows.sparkSession)
-    middle = rows.groupBy("gid").agg(
-        *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(NAMES)])
-    spread = (rows.join(middle, "gid").groupBy("gid")
-              .agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000)
-                     .alias(f"d{i}") for i, c in enumerate(NAMES)]))
-    start = middle.join(spread, "gid").select("gid", *[f"m{i}" for i in range(len(NAMES))], *[
-        (F.lit(1.0) / (F.pow(1.4826 * F.col(f"d{i}"), 2) + params.floor ** 2) if i == j
+    cuts = rows.groupBy("gid").agg(
+        *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"c{i}")
+          for i, c in enumerate(NAMES)])
+    spread = [(F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349 for i in range(len(NAMES))]
+    start = cuts.select("gid", *[F.col(f"c{i}")[1].alias(f"m{i}") for i in range(len(NAMES))], *[
+        (F.lit(1.0) / (spread[i] * spread[i] + params.floor ** 2) if i == j
          else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in PAIRS])
     now = materialize(start, "robust_0", folder)
     schema = "gid string, " + ", ".join(f"{c} double" for c in PARAM_COLUMNS)
