@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landmarkflow.sources.tables import materialize
+from landmarkflow.llm.steps import written
 
 
 def _orient(edges: DataFrame) -> DataFrame:
@@ -35,13 +35,13 @@ def connected(edges: DataFrame, name: str, folder: str) -> DataFrame:
     Each round writes the edges, which cuts the lineage. Rounds end when the
     edges are stars; loops and repeated edges do no harm, no edges give no rows.
     """
-    now, before, turn = materialize(_orient(edges), f"{name}_0", folder), None, 0
+    now, before, turn = written(_orient(edges), f"{name}_0", folder), None, 0
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
                         .alias("h")).first()
         if state == before:
             break
         before, turn = state, turn + 1
-        now = materialize(_orient(_small(_orient(_large(now)))), f"{name}_{turn}", folder)
+        now = written(_orient(_small(_orient(_large(now)))), f"{name}_{turn}", folder)
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

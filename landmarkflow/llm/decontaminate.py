@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from landmarkflow.llm.keys import fields, positional
 from landmarkflow.llm.textbytes import chunks, prefix_codes, runs, signed, span_hashes
-from landmarkflow.sources.tables import materialize, run_folder
+from landmarkflow.llm.steps import run_folder, written
 
 #: Bytes of words: digits, letters and everything outside ASCII. A-Z become a-z.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -151,7 +151,7 @@ def build_index(docs: DataFrame, text: str, block: Block, wanted: np.ndarray,
 
     found = docs.select("k1", "k2", text).mapInArrow(
         post, "term int, k1 bigint, k2 bigint, positions array<int>")
-    return materialize(found.sortWithinPartitions("term"), *path)
+    return written(found.sortWithinPartitions("term"), *path)
 
 
 def places(index: DataFrame, looked: DataFrame, slop: int = 0) -> DataFrame:
@@ -267,7 +267,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params(),
         return _empty(docs, keep, text)
     if len(parts) == 1:
         return parts[0].drop("k1", "k2")
-    written = [materialize(p, f"block_{i}", folder) for i, p in enumerate(parts)]
+    written = [written(p, f"block_{i}", folder) for i, p in enumerate(parts)]
     hits = written[0].select("k1", "k2", "items", "hit_runs")
     for p in written[1:]:
         hits = hits.unionByName(p.select("k1", "k2", "items", "hit_runs"))

@@ -24,8 +24,8 @@ from landmarkflow.llm.components import connected
 from landmarkflow.llm.decontaminate import words_of
 from landmarkflow.llm.keys import fields, positional
 from landmarkflow.llm.setpairs import forest, verify
-from landmarkflow.llm.textbytes import chunks, gram_hashes, mix, signed
-from landmarkflow.sources.tables import materialize, run_folder
+from landmarkflow.llm.textbytes import chunks, gram_hashes, mix, signed, whole_groups
+from landmarkflow.llm.steps import run_folder, written
 
 
 @dataclass(frozen=True)
@@ -144,7 +144,7 @@ def leaves(walks: DataFrame, params: JoinParams, folder: str) -> tuple[DataFrame
     small, now = [], walks.withColumn("key", F.col("path")[0])
     for d in range(params.depth):
         counts = now.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        placed = materialize(now.join(counts, "key"), f"level_{d}", folder)
+        placed = written(now.join(counts, "key"), f"level_{d}", folder)
         small.append(placed.filter(F.col("n") <= params.bucket).select("key", "set_id"))
         large = placed.filter(F.col("n") > params.bucket)
         if d + 1 == params.depth or large.isEmpty():
@@ -171,7 +171,7 @@ def bucket_edges(small: DataFrame, sets: DataFrame, params: JoinParams) -> DataF
         return [(int(ids[x]), int(ids[y])) for x, y in forest(ok)]
 
     def run(batches):
-        for batch in _whole_groups(batches):
+        for batch in whole_groups(batches):
             key = batch.column(0).to_numpy()
             ids = batch.column(1).to_numpy()
             sketch = batch.column(2).flatten().to_numpy(zero_copy_only=False)
@@ -187,23 +187,6 @@ def bucket_edges(small: DataFrame, sets: DataFrame, params: JoinParams) -> DataF
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _whole_groups(batches):
-    """Batches of a stream sorted by its first column, cut between groups."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = batch if rest is None else pa.Table.from_batches(
-            [rest, batch]).combine_chunks().to_batches()[0]
-        key = table.column(0).to_numpy()
-        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        if last:
-            yield table.slice(0, last)
-        rest = table.slice(last)
-    if rest is not None:
-        yield rest
-
-
 def _sets_of(docs: DataFrame, keep, text: str, params: JoinParams) -> DataFrame:
     """``keep`` and items, the shingles of each text."""
     keep = list(keep)
@@ -231,9 +214,9 @@ def similar_sets(docs: DataFrame, params: JoinParams, folder: str,
     """
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).withColumns({
         "g1": F.coalesce(F.col("doc").cast("long"), F.xxhash64("body")), "g2": F.hash("body")})
-    all_rows = materialize(sketches(docs, ("g1", "g2", "doc"), "body", params), "sketches", folder)
+    all_rows = written(sketches(docs, ("g1", "g2", "doc"), "body", params), "sketches", folder)
     known = all_rows.filter("set_id is not null")
-    sets = materialize(known.groupBy("set_id").agg(
+    sets = written(known.groupBy("set_id").agg(
         F.min(F.struct("g1", "g2")).alias("at"), F.first("sketch").alias("sketch")), "sets", folder)
     small, large = leaves(paths(sets, params), params, folder)
     hub = large.groupBy("key").agg(F.min("set_id").alias("b"))
@@ -245,7 +228,7 @@ def similar_sets(docs: DataFrame, params: JoinParams, folder: str,
     texts = docs.select("g1", "g2", "body").join(chosen, ["g1", "g2"])
     members = (_sets_of(texts, ("grp", "node"), "body", params)
                .dropDuplicates(["grp", "node"]))
-    found = materialize(verify(members, params.similarity), "verified", folder)
+    found = written(verify(members, params.similarity), "verified", folder)
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected(found.filter("b is not null").select("a", "b"), "classes", folder)
     return all_rows.select("g1", "g2", "doc", "set_id"), classes.join(

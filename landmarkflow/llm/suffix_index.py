@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from landmarkflow.llm.textbytes import BYTE_CODES, CHUNK_BYTES, LEVEL_FACTORS, chunks, mix, signed
-from landmarkflow.sources.tables import materialize, run_folder, work_dir
+from landmarkflow.llm.textbytes import (BYTE_CODES, CHUNK_BYTES, LEVEL_FACTORS, chunks, mix,
+                                        repeated, signed, texts_of, whole_groups)
+from landmarkflow.llm.steps import run_folder, written
+from landmarkflow.sources.tables import work_dir
 
 BLOCK = 128
 PLACE_BITS = np.uint64(28)
@@ -38,11 +40,16 @@ LONG_ROW = 4 * CHUNK_BYTES
 
 @dataclass(frozen=True)
 class SuffixParams:
-    """``length`` bytes make a repeat; ``batches`` is how many pieces the corpus comes in."""
+    """``length`` bytes make a repeat; ``batches`` is how many pieces the corpus comes in.
+
+    The spans of one key are compared in one task up to ``together`` spans, else
+    their strings are counted by a shuffle of their own.
+    """
 
     length: int = 200
     prefix: int = 32
     batches: int = 4
+    together: int = 50_000
 
 
 def block_hashes(data: np.ndarray, *sizes: int) -> dict:
@@ -187,10 +194,11 @@ class SuffixFamily:
         return merged
 
     def repeats(self) -> DataFrame:
-        """Suffixes with a shared key: whole (span met again), rep, and the columns of the array.
+        """Suffixes with a shared key: the columns of the array, whole, rep and wide.
 
-        Of the suffixes with one span ``rep`` marks one if the key has other spans;
-        where it is set or ``whole`` is not, single strings have to be compared.
+        ``whole``: the span is met again. ``rep``: one suffix of every such span of
+        a key that has single spans too; these and the single ones have to be
+        compared string by string. ``wide``: the key has many different spans.
         """
         while len(self.levels) > 1:
             small, large = sorted(self.levels)[:2]
@@ -208,64 +216,119 @@ class SuffixFamily:
                                    "nth": F.row_number().over(ranked)})
                 .filter("of_key > 1")
                 .withColumns({"whole": F.col("of_span") > 1,
-                              "rep": (F.col("nth") == 1) & (F.col("of_span") < F.col("of_key"))})
-                .select("key", "g1", "g2", "start", "n", "whole", "rep"))
+                              "spans": F.sum((F.col("nth") == 1).cast("long")).over(key),
+                              "singles": F.sum((F.col("of_span") == 1).cast("long")).over(key)})
+                .select("key", "g1", "g2", "start", "n", "whole",
+                        ((F.col("nth") == 1) & F.col("whole") & (F.col("singles") > 0))
+                        .alias("rep"), (F.col("spans") > self.params.together).alias("wide")))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
 
 
-def string_hashes(rows: DataFrame, edges: DataFrame, params: SuffixParams) -> DataFrame:
-    """(key, code, g1, g2, start, single): every string of the given spans by its hash."""
+def span_texts(rows: DataFrame, edges: DataFrame, params: SuffixParams) -> DataFrame:
+    """(key, g1, g2, start, n, single, wide, bytes) of the given spans."""
     per = edges.groupBy("g1", "g2").agg(F.collect_set(F.struct(
-        "start", "n", "key", (~F.col("whole")).alias("single"))).alias("spans"))
+        "start", "n", "key", (~F.col("whole")).alias("single"), "wide")).alias("spans"))
     joined = rows.select("g1", "g2", "text").join(per, ["g1", "g2"])
-    length = params.length
 
     def run(batches):
         for batch in batches:
             for top, last, data, at in chunks(batch.column(2)):
                 lists = batch.column(3).slice(top, last - top)
-                per_row = np.asarray(lists.value_lengths()).astype(np.int64)
                 flat = lists.flatten()
-                start, n, key = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64)
-                                 for k in range(3))
-                single = flat.field(3).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(last - top), per_row)
-                begin, size = at[row] + start, n - 1 + length
-                cut = np.searchsorted(np.cumsum(size), np.arange(
-                    CHUNK_BYTES, int(size.sum()) + CHUNK_BYTES, CHUNK_BYTES)) + 1
-                for a, b in zip(np.r_[0, cut[:-1]], np.minimum(cut, len(size))):
-                    if a >= b:
-                        continue
-                    own = size[a:b]
-                    ends = np.cumsum(own)
-                    source = np.repeat(begin[a:b] - (ends - own), own) + np.arange(ends[-1])
-                    block = block_hashes(data[source], BLOCK)[BLOCK]
-                    place, which = _strings(n[a:b], ends - own)
-                    code = signed(mix(block[place] * LEVEL_FACTORS[13]
-                                      + block[place + length - BLOCK]))
-                    local = place - (ends - own)[which] + start[a:b][which]
-                    take = pa.array(row[a:b][which] + top)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[a:b][which]), pa.array(code), batch.column(0).take(take),
-                         batch.column(1).take(take), pa.array(local.astype(np.int32)),
-                         pa.array(single[a:b][which])],
-                        names=["key", "code", "g1", "g2", "start", "single"])
-
-    return joined.mapInArrow(run, "key bigint, code bigint, g1 bigint, g2 int, start int, "
-                                  "single boolean")
-
-
-def repeated_strings(rows: DataFrame, found: DataFrame, params: SuffixParams) -> DataFrame:
-    """Per row key: ``whole`` (start and number of strings of repeated spans), ``single`` starts."""
-    hashed = string_hashes(rows, found.filter("rep or not whole"), params)
+                row = np.repeat(np.arange(last - top), np.asarray(lists.value_lengths()))
+                start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64)
+                            for k in range(2))
+                source, which = _strings(n - 1 + params.length, at[row] + start)
+                ends = np.concatenate([[0], np.cumsum(n - 1 + params.length)])
+                body = pa.Array.from_buffers(pa.large_binary(), len(n), [
+                    None, pa.py_buffer(ends), pa.py_buffer(data[source])]).cast(pa.binary())
+                take = pa.array(row + top)
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field(2), batch.column(0).take(take), batch.column(1).take(take),
+                     flat.field(0), flat.field(1), flat.field(3), flat.field(4), body],
+                    names=["key", "g1", "g2", "start", "n", "single", "wide", "bytes"])
+
+    return joined.mapInArrow(run, "key bigint, g1 bigint, g2 int, start int, n int, "
+                                  "single boolean, wide boolean, bytes binary")
+
+
+def _codes(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all strings of a batch of spans: hash with the key, span, number in its span."""
+    data, at = texts_of(batch.column(7))
+    key = batch.column(0).to_numpy().view(np.uint64)
+    block = block_hashes(data, BLOCK)[BLOCK]
+    place, which = _strings(np.diff(at) - length + 1, at[:-1])
+    code = block[place] * LEVEL_FACTORS[13] + block[place + length - BLOCK]
+    return mix(mix(code) ^ key[which]), which, place - at[which]
+
+
+MARKS = "g1 bigint, g2 int, start int, n int"
+
+
+def _marks(batch: pa.RecordBatch, which: np.ndarray, number: np.ndarray, met: np.ndarray):
+    """Runs of repeated strings of the single spans, as rows of :data:`MARKS`."""
+    single = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+    at = np.flatnonzero(met & single[which])
+    if not len(at):
+        return None
+    head = np.r_[True, (np.diff(at) > 1) | (which[at[1:]] != which[at[:-1]])]
+    first, take = at[head], pa.array(which[at[head]])
+    start = batch.column(3).take(take).to_numpy() + number[first]
+    n = np.diff(np.r_[np.flatnonzero(head), len(at)])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(1).take(take), batch.column(2).take(take),
+         pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+        names=["g1", "g2", "start", "n"])
+
+
+def repeats_together(spans_: DataFrame, params: SuffixParams) -> DataFrame:
+    """:data:`MARKS` of keys with few spans: all strings of a key meet in one task."""
+    ordered = spans_.filter("not wide").repartition("key").sortWithinPartitions("key")
+
+    def run(batches):
+        for batch in whole_groups(batches):
+            code, which, number = _codes(batch, params.length)
+            out = _marks(batch, which, number, repeated(code))
+            if out is not None:
+                yield out
+
+    return ordered.mapInArrow(run, MARKS)
+
+
+def repeats_apart(spans_: DataFrame, params: SuffixParams) -> DataFrame:
+    """:data:`MARKS` of keys with many spans: equal strings are counted by a shuffle."""
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                code, which, number = _codes(part, params.length)
+                take = pa.array(which)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), pa.array(signed(code)), part.column(1).take(take),
+                     part.column(2).take(take),
+                     pa.array((part.column(3).to_numpy()[which] + number).astype(np.int32)),
+                     part.column(5).take(take)],
+                    names=["key", "code", "g1", "g2", "start", "single"])
+
+    hashed = spans_.filter("wide").mapInArrow(
+        run, "key bigint, code bigint, g1 bigint, g2 int, start int, single boolean")
     twice = hashed.groupBy("key", "code").agg(F.count("*").alias("n")).filter("n > 1")
-    single = (hashed.filter("single").join(twice.select("key", "code"), ["key", "code"], "left_semi")
-              .groupBy("g1", "g2").agg(F.collect_list("start").alias("single")))
-    whole = found.filter("whole").groupBy("g1", "g2").agg(
-        F.collect_list(F.struct("start", "n")).alias("whole"))
-    return whole.join(single, ["g1", "g2"], "full_outer")
+    return hashed.filter("single").join(twice.select("key", "code"), ["key", "code"],
+                                        "left_semi").select(
+        "g1", "g2", "start", F.lit(1).alias("n"))
+
+
+def repeated_strings(rows: DataFrame, found: DataFrame, params: SuffixParams, folder: str
+                     ) -> DataFrame:
+    """Per row key the runs (start, n) of repeated strings: of spans met again, and at edges."""
+    edges = written(span_texts(rows, found.filter("rep or not whole"), params), "spans",
+                        folder)
+    marks = (found.filter("whole").select("g1", "g2", "start", "n")
+             .unionByName(repeats_together(edges, params))
+             .unionByName(repeats_apart(edges, params)))
+    return marks.groupBy("g1", "g2").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
 RESULT = ("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
@@ -274,24 +337,20 @@ RESULT = ("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string,
 
 def cut_repeats(rows: DataFrame, marks: DataFrame, params: SuffixParams) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start, end, start, end ...)."""
-    joined = rows.join(marks, ["g1", "g2"], "left").select("doc_id", "text", "whole", "single")
+    joined = rows.join(marks, ["g1", "g2"], "left").select("doc_id", "text", "runs")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for top, last, data, at in chunks(batch.column(1)):
                 edge = np.zeros(len(data) + 1, np.int64)
-                whole = batch.column(2).slice(top, last - top)
-                single = batch.column(3).slice(top, last - top)
-                rows_at = [np.repeat(at[:-1], np.asarray(x.value_lengths().fill_null(0)))
-                           for x in (whole, single)]
-                flat = whole.flatten()
-                for base, start, n in ((rows_at[0], flat.field(0), flat.field(1)),
-                                       (rows_at[1], single.flatten(), None)):
-                    first = base + start.to_numpy(zero_copy_only=False).astype(np.int64)
-                    more = 1 if n is None else n.to_numpy(zero_copy_only=False).astype(np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + more - 1 + params.length, -1)
+                lists = batch.column(2).slice(top, last - top)
+                flat = lists.flatten()
+                first = np.repeat(at[:-1], np.asarray(lists.value_lengths().fill_null(0)))
+                first = first + flat.field(0).to_numpy(zero_copy_only=False)
+                more = flat.field(1).to_numpy(zero_copy_only=False)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + more - 1 + params.length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 out = []
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -323,7 +382,6 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams(),
     rows, family = row_key(docs), SuffixFamily(docs.sparkSession, params)
     for b in range(params.batches):
         family.add(rows.filter(F.pmod(F.col("g2"), F.lit(params.batches)) == b))
-    found = materialize(family.repeats(), "repeats", folder)
+    found = written(family.repeats(), "repeats", folder)
     family.drop()
-    marks = materialize(repeated_strings(rows, found, params), "marks", folder)
-    return cut_repeats(rows, marks, params)
+    return cut_repeats(rows, repeated_strings(rows, found, params, folder), params)

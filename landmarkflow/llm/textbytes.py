@@ -133,3 +133,20 @@ def gram_hashes(words: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
     for k in range(1, n):
         total += words[first + k] * GRAM_FACTORS[k]
     return mix(total), first
+
+
+def whole_groups(batches):
+    """Batches of a stream sorted by its first column, cut between groups."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = batch if rest is None else pa.Table.from_batches(
+            [rest, batch]).combine_chunks().to_batches()[0]
+        key = table.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:
+            yield table.slice(0, last)
+        rest = table.slice(last)
+    if rest is not None:
+        yield rest
