@@ -9,6 +9,7 @@ from landmarkflow.llm import chat, secrets, url_rules
 from landmarkflow.llm.decontaminate import digest, matches
 from landmarkflow.llm.jaccard_join import join_documents
 from landmarkflow.llm.line_dedup import dedup_lines
+from landmarkflow.llm.oracles import ORACLES  # noqa: F401
 from landmarkflow.llm.packing import PackParams, pack
 from landmarkflow.llm.quality_classifier import fit_quality, held_out, score_statistics
 from landmarkflow.llm.quality_rules import judge
@@ -98,4 +99,4 @@ QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_jaccard_join,
     op5_chat_formatting, op6_benchmark_decontamination, op7_url_filters, op8_packing,
     op9_quality_classifier, op10_quality_rules)}
-ORACLES: dict = {}
+
