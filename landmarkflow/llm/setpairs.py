@@ -66,11 +66,20 @@ def forest(ok: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _values(column: pa.Array) -> list:
+    """One Python value per row; a list becomes an array."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    at = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def grouped(batches, n_keys: int):
     """Rows of a stream sorted by its first columns, group by group: (key, list of rows)."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*[c if isinstance(c, list) else c.to_pylist() for c in batch.columns]):
+        for row in zip(*map(_values, batch.columns)):
             if row[:n_keys] != key:
                 if held:
                     yield key, held
@@ -103,7 +112,7 @@ def verify(members: DataFrame, similarity: tuple[int, int], block: int = 1024) -
     def run(batches):
         for (_, i, j), rows in grouped(batches, 3):
             sides = [[r for r in rows if r[0] == k] for k in ((i,) if i == j else (i, j))]
-            sets = [[np.array(r[2], np.int64) for r in side] for side in sides]
+            sets = [[r[2] for r in side] for side in sides]
             names = [r[1] for side in sides for r in side]
             ok = linked(sets[0], sets[1] if len(sides) > 1 else None, similarity)
             if not ok.any():
