@@ -10,7 +10,6 @@ at the end of a shard goes into windows whose lengths are powers of two.
 
 from __future__ import annotations
 
-import os
 import zlib
 from dataclasses import dataclass
 
@@ -20,8 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landmarkflow.llm.steps import run_folder, written
 from landmarkflow.llm.textbytes import chunks
-from landmarkflow.sources.tables import materialize, run_folder
+from landmarkflow.llm.wordbpe import ChunkEncoder
 
 
 @dataclass(frozen=True)
@@ -37,73 +37,13 @@ class PackParams:
     b: float = 0.75
 
 
-class WordEncoder:
-    """Token ids of texts, remembering those of each blank-separated word.
-
-    The tokenizer never joins characters across a blank, so the ids of a text
-    are those of its words in order. At most ``limit`` words are remembered.
-    """
-
-    def __init__(self, path: str, limit: int = 300_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.forget()
-
-    def forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.ids, self.lengths = np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-
-    def learn(self, new: list[str]) -> None:
-        if len(self.places) + len(new) > self.limit:
-            self.forget()
-        encoded = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in encoded], np.int64)
-        flat = np.array([i for x in encoded for i in x], np.uint16)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.ids = np.concatenate([self.ids, flat])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        base = len(self.places)
-        self.places.update((w, base + i) for i, w in enumerate(new))
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end_id``, and the number per text."""
-        words, counts = [], []
-        for text in texts:
-            own = text.replace("\n", " ").split(" ")
-            counts.append(len(own))
-            words += own
-        distinct = set(words)
-        if len(distinct - self.places.keys()) + len(self.places) > self.limit:
-            self.forget()
-        new = sorted(distinct - self.places.keys())
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = self.lengths[place]
-        row = np.repeat(np.arange(len(texts)), counts)
-        per_text = np.bincount(row, sizes, len(texts)).astype(np.int64) + 1
-        out = np.full(int(per_text.sum()), end_id, np.uint16)
-        total = int(sizes.sum())
-        before = np.cumsum(sizes) - sizes
-        source = np.repeat(self.starts[place] - before, sizes) + np.arange(total)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(per_text) - 1] = False
-        out[keep] = self.ids[source]
-        return out, per_text
-
-
 def tokenize(docs: DataFrame, params: PackParams) -> DataFrame:
     """(doc_id, tokens): ids as little-endian 16-bit numbers, the end id last; null is empty."""
     def run(batches):
-        encoder = WordEncoder(params.tokenizer)
+        encoder = ChunkEncoder(params.tokenizer)
         for batch in batches:
             for first, last, data, at in chunks(batch.column(1)):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
-                ids, counts = encoder.encode(texts, params.end_id)
+                ids, counts = encoder.encode(data, at, params.end_id)
                 cut = np.concatenate([[0], np.cumsum(counts)]) * 2
                 blob = ids.astype("<u2").tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -250,7 +190,7 @@ def pack(docs: DataFrame, params: PackParams, folder: str | None = None) -> Data
     hold the task and a counter; tasks read a written table, so a task that runs
     again gives the same rows.
     """
-    tokens = materialize(tokenize(docs, params), "tokens", folder or run_folder(docs.sparkSession))
+    tokens = written(tokenize(docs, params), "tokens", folder or run_folder(docs.sparkSession))
     df, n_docs, n_tokens = term_counts(tokens)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # one number per token id

@@ -178,3 +178,28 @@ def test_chat_rendering_shows_markers(spark):
            for i in part]
     text = chat.render(ids, lambda x: table.decode_bytes(x).decode(), params())
     assert text == "### user:\na \\</turn>\n</turn>\n"
+
+
+def test_batched_ids_equal_the_library():
+    import numpy as np
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from landmarkflow.llm.textbytes import texts_of
+    from landmarkflow.llm.wordbpe import ChunkEncoder
+
+    path = P.path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(8)
+    parts = ["the", "Tion", "é", "é", "ß", "Ü", "İ", "Σ", "ς", "'", "'s", "'ve", "12", "3", ".",
+             ",", "###", "<|endoftext|>", "<|", "|>", "_", " ", " ", "\x1c", "\x85", "中文",
+             "😀", "ª", "²", "½", "x" * 30, "an", "ing", "\t", "\r\n", " ", " ", "\n", "ﬁ", "Å"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["y" * 5000, "aaa" * 40 + " aaaa", ""]
+    encoder = ChunkEncoder(path, slots=256, pool=20_000)  # small, so words are forgotten
+    for a in range(0, len(texts), 100):
+        part = texts[a:a + 100]
+        ids, counts = encoder.encode(*texts_of(pa.array(part)), 1)
+        cut = np.concatenate([[0], np.cumsum(counts)])
+        for k, text in enumerate(part):
+            want = library.encode(text, add_special_tokens=False).ids + [1]
+            assert ids[cut[k]:cut[k + 1]].tolist() == want, text
