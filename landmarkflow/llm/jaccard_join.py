@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from landmarkflow.llm.components import connected
 from landmarkflow.llm.decontaminate import words_of
 from landmarkflow.llm.keys import fields, positional
-from landmarkflow.llm.setpairs import forest, verify
+from landmarkflow.llm.setpairs import deal, forest, verify
 from landmarkflow.llm.textbytes import chunks, gram_hashes, mix, signed, whole_groups
 from landmarkflow.llm.steps import run_folder, written
 
@@ -187,22 +187,16 @@ def bucket_edges(small: DataFrame, sets: DataFrame, params: JoinParams) -> DataF
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets_of(docs: DataFrame, keep, text: str, params: JoinParams) -> DataFrame:
-    """``keep`` and items, the shingles of each text."""
-    keep = list(keep)
-
-    def run(batches):
-        for batch in batches:
-            for top, last, data, at in chunks(batch.column(len(keep))):
-                values, row = shingles(data, at, params.words)
-                at_row = np.searchsorted(row, np.arange(last - top + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(top, last - top) for c in range(len(keep))]
-                    + [pa.ListArray.from_arrays(pa.array(at_row), pa.array(signed(values)))],
-                    names=[*keep, "items"])
-
-    return docs.select(*keep, text).mapInArrow(
-        run, ", ".join([*fields(docs, keep), "items array<bigint>"]))
+def sets_of(params: JoinParams):
+    """Shingle sets of a column of texts."""
+    def run(column):
+        out = []
+        for top, last, data, at in chunks(column):
+            values, row = shingles(data, at, params.words)
+            cut = np.searchsorted(row, np.arange(last - top + 1))
+            out += [signed(values[a:b]) for a, b in zip(cut[:-1], cut[1:])]
+        return out
+    return run
 
 
 def similar_sets(docs: DataFrame, params: JoinParams, folder: str,
@@ -224,11 +218,8 @@ def similar_sets(docs: DataFrame, params: JoinParams, folder: str,
     near = connected(bucket_edges(small, sets, params).unionByName(stars), "candidates", folder)
     chosen = near.join(sets.select("set_id", "at"), near.node == sets.set_id).select(
         F.col("at.g1").alias("g1"), F.col("at.g2").alias("g2"), "node", F.col("root").alias("grp"))
-    # Rows equal in id and text would bring a set twice.
-    texts = docs.select("g1", "g2", "body").join(chosen, ["g1", "g2"])
-    members = (_sets_of(texts, ("grp", "node"), "body", params)
-               .dropDuplicates(["grp", "node"]))
-    found = written(verify(members, params.similarity), "verified", folder)
+    dealt = docs.select("g1", "g2", "body").join(deal(chosen), ["g1", "g2"])
+    found = written(verify(dealt, params.similarity, sets_of(params)), "verified", folder)
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     classes = connected(found.filter("b is not null").select("a", "b"), "classes", folder)
     return all_rows.select("g1", "g2", "doc", "set_id"), classes.join(

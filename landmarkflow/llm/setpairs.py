@@ -45,13 +45,7 @@ def linked(left: list, right: list | None, similarity: tuple[int, int]) -> np.nd
 
 
 def forest(ok: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric matrix, or of its bipartite reading."""
-    n, m = ok.shape
-    square = n == m and np.array_equal(ok, ok.T)
-    if not square:
-        whole = np.zeros((n + m, n + m), bool)
-        whole[:n, n:], whole[n:, :n] = ok, ok.T
-        ok = whole
+    """Edges of a spanning forest of a symmetric matrix."""
     free, out = np.ones(len(ok), bool), []
     for root in range(len(ok)):
         if not free[root]:
@@ -66,65 +60,65 @@ def forest(ok: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _values(column: pa.Array) -> list:
-    """One Python value per row; a list becomes an array."""
-    if not pa.types.is_list(column.type):
-        return column.to_pylist()
-    at = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+def deal(members: DataFrame, block: int = 1024) -> DataFrame:
+    """Spreads the pairs of each group over units of work (grp, i, j).
 
+    ``members`` are (grp, node, ...), a node once. Groups are dealt into blocks of
+    about ``block`` members by a hash; each pair of blocks is a unit, and a member
+    goes to the units of its block (``own``). Groups of one are left out.
+    """
+    rest = [c for c in members.columns if c != "grp"]
+    sizes = members.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
+    dealt = members.join(sizes, "grp").withColumn(
+        "blocks", F.ceil(F.col("size") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    each = dealt.select("grp", "own", *rest, F.explode(
+        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return each.select("grp", F.least("own", "other").alias("i"),
+                       F.greatest("own", "other").alias("j"), "own", *rest)
 
-def grouped(batches, n_keys: int):
-    """Rows of a stream sorted by its first columns, group by group: (key, list of rows)."""
+
+def _units(batches, sets_of):
+    """Units of a stream sorted by (grp, i, j, own, node): (i, j), [(own, node, set)]."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*map(_values, batch.columns)):
-            if row[:n_keys] != key:
+        heads = zip(*[batch.column(k).to_pylist() for k in range(5)])
+        for (grp, i, j, own, node), items in zip(heads, sets_of(batch.column(5))):
+            if (grp, i, j) != key:
                 if held:
-                    yield key, held
-                key, held = row[:n_keys], []
-            held.append(row[n_keys:])
+                    yield key[1:], held
+                key, held = (grp, i, j), []
+            if not held or held[-1][1] != node:  # rows equal in id and text come twice
+                held.append((own, node, items))
     if held:
-        yield key, held
+        yield key[1:], held
 
 
-def verify(members: DataFrame, similarity: tuple[int, int], block: int = 1024) -> DataFrame:
-    """Links of candidate groups: rows (a, b, links).
+def verify(dealt: DataFrame, similarity: tuple[int, int], sets_of) -> DataFrame:
+    """Links of dealt groups: rows (a, b, links).
 
-    ``members`` are (grp, node, items: sorted distinct longs), a node once. Groups
-    are dealt into blocks of about ``block`` sets by a hash, and each pair of
-    blocks is one unit of work, so a group of any size is spread out. With ``b``
-    null the row adds ``links`` to the links of ``a``; else it is an edge of a
-    spanning forest of the links found.
+    ``dealt`` are (grp, i, j, own, node, body) of :func:`deal`; ``sets_of`` turns a
+    column of bodies into sorted arrays of distinct longs. With ``b`` null the row
+    adds ``links`` to the links of ``a``; else it is an edge of a spanning forest of
+    the links found.
     """
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1")
-    dealt = members.join(sizes, "grp").withColumn(
-        "blocks", F.ceil(F.col("size") / block).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    each = dealt.select("grp", "own", "node", "items", F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    each = each.select("grp", F.least("own", "other").alias("i"),
-                       F.greatest("own", "other").alias("j"),
-                       "own", "node", "items")
-    spread = each.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "own", "node")
+    spread = (dealt.select("grp", "i", "j", "own", "node", "body")
+              .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "own", "node"))
 
     def run(batches):
-        for (_, i, j), rows in grouped(batches, 3):
-            sides = [[r for r in rows if r[0] == k] for k in ((i,) if i == j else (i, j))]
-            sets = [[r[2] for r in side] for side in sides]
-            names = [r[1] for side in sides for r in side]
-            ok = linked(sets[0], sets[1] if len(sides) > 1 else None, similarity)
+        for (i, j), rows in _units(batches, sets_of):
+            left = [r for r in rows if r[0] == i]
+            right = [r for r in rows if r[0] == j] if i != j else None
+            names = [r[1] for r in left + (right or [])]
+            ok = linked([r[2] for r in left], right and [r[2] for r in right], similarity) \
+                if right is None or right else np.zeros((0, 0), bool)
             if not ok.any():
                 continue
-            links = np.concatenate([ok.sum(axis=1), ok.sum(axis=0)]) if len(sides) > 1 \
-                else ok.sum(axis=1)
-            if len(sides) > 1:
+            if right is not None:
                 whole = np.zeros((len(names), len(names)), bool)
-                n = len(sides[0])
-                whole[:n, n:], whole[n:, :n] = ok, ok.T
+                whole[:len(left), len(left):], whole[len(left):, :len(left)] = ok, ok.T
                 ok = whole
-            edges = forest(ok)
+            links, edges = ok.sum(axis=1), forest(ok)
             found = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([names[k] for k in found] + [names[x] for x, _ in edges], pa.int64()),

@@ -70,13 +70,20 @@ def test_jaccard_join_equals_brute_force(spark):
 
 
 def test_jaccard_join_in_several_blocks(spark):
-    from landmarkflow.llm.setpairs import verify
+    import numpy as np
+
+    from landmarkflow.llm.setpairs import deal, verify
 
     rng = random.Random(3)
     base = list(range(100))
-    rows = [(1, k, sorted(rng.sample(base, 95))) for k in range(60)] + [(2, 99, [1]), (2, 98, [2])]
-    members = spark.createDataFrame(rows, "grp bigint, node bigint, items array<bigint>")
-    whole, parts = (verify(members, (4, 5), block) for block in (1024, 9))
+    rows = [(1, k, " ".join(map(str, rng.sample(base, 95)))) for k in range(60)]
+    members = spark.createDataFrame(rows + [(2, 99, "1"), (2, 98, "2"), (3, 97, "1")],
+                                    "grp bigint, node bigint, body string")
+
+    def sets_of(column):
+        return [np.unique(np.array(x.split(), np.int64)) for x in column.to_pylist()]
+
+    whole, parts = (verify(deal(members, block), (4, 5), sets_of) for block in (1024, 9))
     sums = [{r.a: r.n for r in x.filter("b is null").groupBy("a").agg(F.sum("links").alias("n"))
              .collect()} for x in (whole, parts)]
     assert sums[0] == sums[1] and len(sums[0]) == 60
