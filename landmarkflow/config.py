@@ -143,9 +143,9 @@ TASKS = ("aki_stage1_24h", "aki_stage1_48h", "aki_stage2_24h", "aki_stage2_48h")
 
 KEY_METRICS = ("auroc", "auprc", "brier", "calibration_slope", "calibration_intercept", "ece",
                "sensitivity_at_spec_90", "specificity_at_sens_90")
-# --- end of fixed values -------------------------------------------------------
 
 
+# --- fixed values: defaults of the configuration -------------------------------
 @dataclass(frozen=True)
 class CohortConfig:
     min_age: int = 18
@@ -239,6 +239,7 @@ class ModelConfig:
     tree_min_rows: int = 20
     tree_subsample: float = 0.8
     calibration: str = "isotonic"
+# --- end of fixed values -------------------------------------------------------
 
 
 @dataclass(frozen=True)

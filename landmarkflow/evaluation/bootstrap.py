@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmarkflow.evaluation.curves import discrimination
-from landmarkflow.operators.joins import salted_join
 from landmarkflow.operators.splits import hash_bucket, rank_in_order
+from landmarkflow.sources.tables import materialize, run_folder
 
 
 def patient_draws(subjects: DataFrame, subject: str, iterations: int, n: int) -> DataFrame:
@@ -28,22 +28,28 @@ def patient_draws(subjects: DataFrame, subject: str, iterations: int, n: int) ->
     return counts.join(numbered, "_idx").select("iter", subject, "times")
 
 
-def bootstrap_scores(df: DataFrame, iterations: int, subject: str = "subject_id", by=(),
-                     y: str = "y", p: str = "p") -> DataFrame:
-    """Score tables of all iterations: ``(iter, by, p, pos, neg)``, rows weighted by
-    how often their patient was drawn, never copied."""
-    by = list(by)
+def patient_scores(df: DataFrame, subject: str = "subject_id", by=(), y: str = "y", p: str = "p"
+                   ) -> DataFrame:
+    """Positives and negatives per (patient, group, distinct score)."""
     hit = F.col(y) == 1
-    per_patient = (df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-                   .groupBy(subject, *by, F.col(p).alias("p"))
-                   .agg(F.sum(F.when(hit, 1).otherwise(0)).alias("pos"),
-                        F.sum(F.when(hit, 0).otherwise(1)).alias("neg")))
-    subjects = df.select(subject).distinct()
-    draws = patient_draws(subjects, subject, iterations, subjects.count())
-    rows = salted_join(per_patient, draws, subject)
-    return rows.groupBy("iter", *by, "p").agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"),
-        F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    return (df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+            .groupBy(subject, *by, F.col(p).alias("p"))
+            .agg(F.sum(F.when(hit, 1).otherwise(0)).alias("pos"),
+                 F.sum(F.when(hit, 0).otherwise(1)).alias("neg")))
+
+
+def bootstrap_scores(per_patient: DataFrame, subjects: DataFrame, iterations: int,
+                     subject: str = "subject_id", by=()) -> DataFrame:
+    """Score tables of all iterations: ``(iter, by, p, pos, neg)``, rows weighted by
+    how often their patient was drawn. A patient's draws are one array (of at most
+    ``iterations`` entries) until they have met the patient's scores."""
+    draws = patient_draws(subjects, subject, iterations, subjects.count()).groupBy(subject).agg(
+        F.collect_list(F.struct("iter", "times")).alias("_draws"))
+    rows = (per_patient.join(draws, subject)
+            .select(*by, "p", "pos", "neg", F.explode("_draws").alias("_d")))
+    return rows.groupBy("_d.iter", *by, "p").agg(
+        F.sum(F.col("pos") * F.col("_d.times")).alias("pos"),
+        F.sum(F.col("neg") * F.col("_d.times")).alias("neg"))
 
 
 def bootstrap_ci(df: DataFrame, metrics, iterations: int = 1000, level: float = 0.95,
@@ -55,13 +61,14 @@ def bootstrap_ci(df: DataFrame, metrics, iterations: int = 1000, level: float =
     group. With ``by``, all groups must hold the same patients, as they share
     the draws.
     """
-    from landmarkflow.evaluation.curves import score_table
-
-    by, metrics = list(by), list(metrics)
+    by, metrics, folder = list(by), list(metrics), run_folder(df.sparkSession)
+    scores = materialize(patient_scores(df, subject, by, y, p), "patient_scores", folder)
+    subjects = materialize(df.select(subject).distinct(), "patients", folder)
     casts = [F.col(m).cast("double").alias(m) for m in metrics]
-    point = metric_fn(score_table(df, by, y, p), by).select(*by, *casts).unpivot(
+    whole = scores.groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    point = metric_fn(whole, by).select(*by, *casts).unpivot(
         by, metrics, "metric", "point")
-    draws = metric_fn(bootstrap_scores(df, iterations, subject, by, y, p), ["iter", *by]).select(
+    draws = metric_fn(bootstrap_scores(scores, subjects, iterations, subject, by), ["iter", *by]).select(
         *by, *casts).unpivot(by, metrics, "metric", "value")
     tail = (1.0 - level) / 2.0
     finite = draws.filter(F.col("value").isNotNull() & ~F.isnan("value"))

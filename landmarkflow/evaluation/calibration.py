@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmarkflow.evaluation.curves import score_table
 from landmarkflow.functions.scalars import bin_index, clip, logit
-
-MAX_GROUPS = 100_000
+from landmarkflow.sources.tables import materialize, run_folder
 
 
 def bin_edges(bins: int) -> list:
@@ -57,57 +54,50 @@ def calibration_of_scores(scores: DataFrame, by=(), c: float = 1e6, max_iter: in
     """Slope and intercept of a logistic fit of the outcome on logit(score), per group.
 
     Newton steps on two parameters: each needs five sums per group over the
-    distinct scores, so a step is one aggregation and only the parameters reach
-    the driver. The slope carries the weak penalty ``slope^2 / (2c)``. Groups
-    with one class get NULL.
+    distinct scores, so a step is one aggregation. Parameters are rows of a written
+    table, joined by group; only the number of open groups reaches the driver. The
+    slope carries the weak penalty ``slope^2 / (2c)``. Groups with one class get NULL.
     """
-    by = list(by)
-    spark = scores.sparkSession
-    data = scores.select(*by, logit("p").alias("_z"), "pos",
+    by, keys, folder = list(by), [*by, "_one"], run_folder(scores.sparkSession)
+    data = scores.select(*by, F.lit(1).alias("_one"), logit("p").alias("_z"), "pos",
                          (F.col("pos") + F.col("neg")).alias("_n")).persist()
     try:
-        sides = data.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("_n").alias("_t"))
-        groups = sides.limit(MAX_GROUPS + 1).collect()
-        if len(groups) > MAX_GROUPS:
-            raise ValueError(f"more than {MAX_GROUPS} groups: fit them in several calls")
-        keys = [tuple(r[k] for k in by) for r in groups]
-        state = {k: (0.0, 0.0) for k, r in zip(keys, groups, strict=True)
-                 if r["_p"] is not None and 0 < r["_p"] < r["_t"]}
-        open_groups = set(state)
-        types = {f.name: f.dataType.simpleString() for f in scores.schema}
-        key_ddl = "".join(f"`{k}` {types[k]}, " for k in by)
-        for _ in range(max_iter):
-            if not open_groups:
+        sides = data.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("_n").alias("_t"))
+        two = (F.col("_p") > 0) & (F.col("_p") < F.col("_t"))
+        state = materialize(sides.select(
+            *keys, F.when(two, 0.0).alias("_a"), F.when(two, 0.0).alias("_b"),
+            F.coalesce(two, F.lit(False)).alias("_open")), "calibration_0", folder)
+        for step in range(1, max_iter + 1):
+            if state.filter("_open").isEmpty():
                 break
-            params = spark.createDataFrame([(*k, 1, *state[k]) for k in sorted(open_groups,
-                                                                               key=repr)],
-                                           f"{key_ddl}_one int, _a double, _b double")
-            rows = data.withColumn("_one", F.lit(1)).join(F.broadcast(params), [*by, "_one"])
-            mu = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_z"))))
-            res, wt = F.col("pos") - F.col("_n") * mu, F.col("_n") * mu * (1.0 - mu)
-            z = F.col("_z")
-            sums = rows.groupBy(*by).agg(
-                F.sum(res).alias("g0"), F.sum(res * z).alias("g1"), F.sum(wt).alias("h00"),
-                F.sum(wt * z).alias("h01"), F.sum(wt * z * z).alias("h11")).collect()
-            for r in sums:
-                k = tuple(r[x] for x in by)
-                a, b = state[k]
-                g1, h11 = r["g1"] - b / c, r["h11"] + 1.0 / c
-                det = r["h00"] * h11 - r["h01"] ** 2
-                if det <= 0 or not math.isfinite(det):
-                    open_groups.discard(k)
-                    continue
-                da = (h11 * r["g0"] - r["h01"] * g1) / det
-                db = (r["h00"] * g1 - r["h01"] * r["g0"]) / det
-                shrink = min(1.0, 4.0 / max(abs(da), abs(db), 1e-300))
-                state[k] = (a + shrink * da, b + shrink * db)
-                if max(abs(da), abs(db)) < tol:
-                    open_groups.discard(k)
+            state = materialize(_newton_step(data, state, keys, c, tol), f"calibration_{step}",
+                                folder)
     finally:
         data.unpersist()
-    rows = [(*k, *(reversed(state[k]) if k in state else (None, None))) for k in keys]
-    return spark.createDataFrame(
-        rows, f"{key_ddl}calibration_slope double, calibration_intercept double")
+    return state.select(*by, F.col("_b").alias("calibration_slope"),
+                        F.col("_a").alias("calibration_intercept"))
+
+
+def _newton_step(data: DataFrame, state: DataFrame, keys, c: float, tol: float) -> DataFrame:
+    """The parameters of the open groups moved by one damped step; the others as they are."""
+    rows = data.join(state.filter("_open").select(*keys, "_a", "_b"), keys)
+    mu = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_z"))))
+    res, wt, z = F.col("pos") - F.col("_n") * mu, F.col("_n") * mu * (1.0 - mu), F.col("_z")
+    sums = rows.groupBy(*keys).agg(
+        F.sum(res).alias("g0"), F.sum(res * z).alias("g1"), F.sum(wt).alias("h00"),
+        F.sum(wt * z).alias("h01"), F.sum(wt * z * z).alias("h11"))
+    g1, h11 = F.col("g1") - F.col("_b") / c, F.col("h11") + 1.0 / c
+    det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
+    ok = F.coalesce((det > 0) & (det < float("inf")), F.lit(False))
+    da = (h11 * F.col("g0") - F.col("h01") * g1) / det
+    db = (F.col("h00") * g1 - F.col("h01") * F.col("g0")) / det
+    far = F.greatest(F.abs(da), F.abs(db))
+    shrink = F.least(F.lit(1.0), 4.0 / F.greatest(far, F.lit(1e-300)))
+    moved = F.col("_open") & ok
+    return state.join(sums, keys, "left").select(
+        *keys, F.when(moved, F.col("_a") + shrink * da).otherwise(F.col("_a")).alias("_a"),
+        F.when(moved, F.col("_b") + shrink * db).otherwise(F.col("_b")).alias("_b"),
+        (moved & (far >= tol)).alias("_open"))
 
 
 def calibration_fit(df: DataFrame, by=(), **cols) -> DataFrame:

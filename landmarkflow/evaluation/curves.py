@@ -1,9 +1,9 @@
 """ROC and precision-recall measures, exact with ties, in one pass over scores.
 
 Every measure starts from one row per distinct score. Cumulative counts over
-the scores are exact without sorting them in one task: scores are put into a
-fixed number of cells, whole cells are accumulated on one summary row each, and
-scores only inside their cell.
+the scores are exact without sorting them in one task: scores are put into
+cells that are fine near 0 and near 1, whole cells are accumulated on one summary
+row each, and scores only inside their cell.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 65_536
+from landmarkflow.functions.scalars import share_cell
 
 
 def score_table(df: DataFrame, by=(), y: str = "y", p: str = "p", weight: str | None = None
@@ -28,10 +28,9 @@ def score_table(df: DataFrame, by=(), y: str = "y", p: str = "p", weight: str |
 def cumulative_counts(scores: DataFrame, by=()) -> DataFrame:
     """Adds ``tp``/``fp`` (counts at or above the score) and totals ``n_pos``/``n_neg``."""
     by = list(by)
-    cell = F.greatest(F.least(F.floor(F.col("p") * CELLS), F.lit(CELLS - 1)), F.lit(0))
-    s = scores.withColumn("_cell", cell.cast("int"))
+    s = scores.withColumn("_cell", share_cell("p"))
     cells = s.groupBy(*by, "_cell").agg(F.sum("pos").alias("_cp"), F.sum("neg").alias("_cn"))
-    group = Window.partitionBy(*by)  # at most CELLS rows per group
+    group = Window.partitionBy(*by)  # a row per occupied cell
     above = group.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
         *by, "_cell", F.coalesce(F.sum("_cp").over(above), F.lit(0)).alias("_pa"),

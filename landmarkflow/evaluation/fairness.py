@@ -32,7 +32,7 @@ def subgroup_report(df: DataFrame, cfg: EvalConfig = EvalConfig(), by=(),
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("y").alias("_p"))
     fit = sizes.filter((F.col("_n") >= cfg.min_subgroup_n) & (F.col("_p") > 0)
                        & (F.col("_p") < F.col("_n"))).select(*keys)
-    report = full_report(rows.join(F.broadcast(fit), keys), keys, cfg.calibration_bins,
+    report = full_report(rows.join(fit, keys), keys, cfg.calibration_bins,
                          calibration)
     return flag_disparity(report, cfg.disparity, by)
 

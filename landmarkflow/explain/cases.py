@@ -9,8 +9,10 @@ from landmarkflow.explain.contributions import active_terms, is_active
 from landmarkflow.functions.quantiles import exact_quantiles
 
 KEYS = ("stay_id", "subject_id", "landmark_time")
+# --- fixed values: terms that decide between cases ----------------------------
 PRIORITY = ("creatinine_max_24h", "map_mean_12h", "loop_diuretic_24h")
 CONTEXT = ("fluid_input_ml_12h", "glucose_std_24h", "age")
+# --- end of fixed values -------------------------------------------------------
 TAIL = ("hours_since_icu_admit", *("subject_id", "stay_id", "landmark_time"))
 
 

@@ -87,12 +87,16 @@ def permutation_importance(df: DataFrame, model: FittedModel, y: str, features=N
 
 
 REFERENCE_FAMILY = "scorecard_augmented_v2"
+REFERENCE_STAGE = "stage1"
 
 
 def explain_all(spark, fitted: dict, matrices: dict, tasks=None, families=None, models=None,
-                q: float = 0.85) -> dict:
+                q: float = 0.85, shortlist_size: int = 200, reranked: int = 10,
+                shown: int = 1) -> dict:
     """Tables per (task, family, model): importances, sheets, shapes, cases with their
-    contributions, and the overlap with the bedside reference scorecard."""
+    contributions, and, for tasks of the first stage, the overlap with the bedside
+    reference scorecard. ``shortlist_size`` cases are ranked and ``reranked`` of them
+    kept where there is a reference, else ``shown``."""
     triples = spark.createDataFrame(sorted(fitted), "task string, family string, model string")
     wanted = {tuple(r) for r in select_results(triples, tasks, families, models).collect()}
     out = {}
@@ -102,9 +106,7 @@ def explain_all(spark, fitted: dict, matrices: dict, tasks=None, families=None,
         tables = {"global_importance": global_importance(spark, model)}
         test = load_split(matrices[family].filter(F.col(y).isNotNull()), "test")
         if name == "boosted":
-            top = sorted(model.extra["importance"].items(), key=lambda kv: -kv[1])[:10]
-            tables["permutation_importance"] = permutation_importance(
-                test, model, y, [f for f, _ in top])
+            tables["permutation_importance"] = permutation_importance(test, model, y)
             out[triple] = tables
             continue
         if name == "additive":
@@ -121,17 +123,18 @@ def explain_all(spark, fitted: dict, matrices: dict, tasks=None, families=None,
         missing = sum((F.col(f).isNull().cast("int") for f in model.features), F.lit(0))
         scored = model.score(test).select(*keys, "hours_since_icu_admit", F.col(y).alias("y"),
                                           "p", missing.alias("n_missing"))
-        ref = fitted.get((task, REFERENCE_FAMILY, "scorecard"))
+        ref = (fitted.get((task, REFERENCE_FAMILY, "scorecard"))
+               if REFERENCE_STAGE in task else None)
         if name == "additive" and ref is not None:
             ref_test = load_split(matrices[REFERENCE_FAMILY].filter(F.col(y).isNotNull()), "test")
             ref_p = ref.score(ref_test, "p_reference").select(*keys, "p_reference")
-            shortlist = cases.rank_cases(scored, q, ref_p, 200)
+            shortlist = cases.rank_cases(scored, q, ref_p, shortlist_size)
             near = ref_test.join(F.broadcast(shortlist.select(*keys)), keys, "left_semi")
             ref_c = contributions(near, ref, keys)
-            chosen = cases.rerank_cases(shortlist, ref_c, 10)
+            chosen = cases.rerank_cases(shortlist, ref_c, reranked)
             tables["reference_contributions"] = ref_c
         else:
-            chosen, ref_c = cases.rank_cases(scored, q, None, 1), None
+            chosen, ref_c = cases.rank_cases(scored, q, None, shown), None
         tables["patient_cases"] = chosen
         own = contributions(test.join(F.broadcast(chosen.select(*keys)), keys, "left_semi"),
                             model, keys)

@@ -5,30 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 65_536
+from landmarkflow.functions.scalars import order_cell
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     """``(by, prob, quantile)`` with linear interpolation between neighbours.
 
-    Values are put into equal-width cells of their group's range. Counts per
-    cell (a bounded number of rows) tell which cells hold the wanted ranks; only
-    values of those cells are then counted one by one, inside their cell.
+    Values are put into cells of equal relative width. Counts per cell (a bounded
+    number of rows) tell which cells hold the wanted ranks; only values of those
+    cells are then counted one by one, inside their cell.
     """
     by = list(by)
     v = F.col(value).cast("double")
     counts = (df.filter(F.col(value).isNotNull() & ~F.isnan(v))
               .groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n")))
-    span = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                   F.sum("_n").alias("_total"))
-    placed = _join(counts, span, by).withColumn("_cell", F.when(
-        F.col("_hi") > F.col("_lo"),
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS),
-                F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int"))
+    placed = counts.withColumn("_cell", order_cell("_v"))
     group = Window.partitionBy(*by)
     upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"),
-                                              F.max("_total").alias("_total"))
+    cells = (placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"))
+             .withColumn("_total", F.sum("_c").over(group))
              .withColumn("_last", F.sum("_c").over(upto) - 1)
              .withColumn("_first", F.col("_last") - F.col("_c") + 1))
 
@@ -54,11 +49,3 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     high = F.max(F.when(F.col("side") == 1, F.col("_v")))
     return hits.groupBy(*by, "prob").agg((low + (high - low) * part).alias("quantile"))
 
-
-def _join(left: DataFrame, right: DataFrame, by) -> DataFrame:
-    """Join on the group, or read the single summary row when there is none."""
-    if by:
-        return left.join(right, by)
-    row = right.select(F.struct(*right.columns)).scalar()
-    return left.withColumn("_row", row).select(
-        *left.columns, *[F.col(f"_row.{c}").alias(c) for c in right.columns])

@@ -27,6 +27,30 @@ def safe_ratio(num, den) -> Column:
     return _col(num).cast("double") / F.nullif(_col(den).cast("double"), F.lit(0.0))
 
 
+#: Cells per doubling of :func:`order_cell`, and doublings on either side of 1.
+PER_DOUBLING, DOUBLINGS = 2048, 1100
+HALF_CELL = (DOUBLINGS - 1) * PER_DOUBLING + 1
+
+
+def order_cell(v) -> Column:
+    """Integer that never falls as a double grows, with cells of equal relative width.
+
+    Small values and far outliers get cells of their own whatever the range is.
+    """
+    v = _col(v)
+    steps = F.floor(F.least(F.greatest(F.log2(F.abs(v)) * PER_DOUBLING,
+                                       F.lit(-float(DOUBLINGS * PER_DOUBLING))),
+                            F.lit(float(DOUBLINGS * PER_DOUBLING))))
+    place = (steps + DOUBLINGS * PER_DOUBLING + 1).cast("int")
+    return F.when(v > 0, place).when(v < 0, -place).otherwise(F.lit(0))
+
+
+def share_cell(p) -> Column:
+    """:func:`order_cell` for probabilities: fine near 0 and near 1."""
+    p = _col(p)
+    return F.when(p < 0.5, order_cell(p)).otherwise(2 * HALF_CELL - order_cell(F.lit(1.0) - p))
+
+
 def bin_index(c, edges) -> Column:
     """Number of edges at or below the value: left-closed bins 0..len(edges)."""
     c = _col(c)

@@ -16,7 +16,7 @@ def exposure_events(inputevents: DataFrame, chartevents: DataFrame, outputevents
     """The contributing rows as ``(stay_id, kind, start_us, end_us, amount)``.
 
     An input row can count twice (as a drug and as fluid), so its kinds are
-    exploded from one scan.
+    exploded from one scan. The filters are on stored columns, so scans can use them.
     """
     def tag(condition, name):
         return F.when(condition, F.lit(name))
@@ -27,7 +27,9 @@ def exposure_events(inputevents: DataFrame, chartevents: DataFrame, outputevents
         tag(item.isin(*C.VASOPRESSOR_ITEMS), "vaso"),
         tag(item.isin(*C.LOOP_DIURETIC_ITEMS), "loop"),
         tag(F.col("amountuom").isin(*C.FLUID_UNITS), "fluid")))
-    given = (inputevents.select("stay_id", "starttime", "endtime", "amount",
+    wanted = item.isin(*C.VASOPRESSOR_ITEMS, *C.LOOP_DIURETIC_ITEMS) | F.col("amountuom").isin(
+        *C.FLUID_UNITS)
+    given = (inputevents.filter(wanted).select("stay_id", "starttime", "endtime", "amount",
                                 F.explode(kinds).alias("kind"))
              .select("stay_id", "kind", micros("starttime").alias("start_us"),
                      F.when(F.col("kind") == "vaso", micros("endtime"))

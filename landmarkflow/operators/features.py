@@ -139,10 +139,12 @@ def select_results(results: DataFrame, tasks=None, families=None, models=None) -
 def minimal_family(matrix: DataFrame, importance: DataFrame, k: int = 10) -> DataFrame:
     """Meta, labels, demographics and the ``k`` leading features of an importance roll-up.
 
-    Only the ``k`` names reach the driver, as they are column names.
+    Names without a column in ``matrix`` take no place. Only the ``k`` names reach
+    the driver, as they are column names.
     """
     ranked = importance.orderBy(F.desc("mean_abs_importance"), F.desc("n_artifacts"),
-                                "best_rank", "feature").limit(k)
+                                "best_rank", "feature")
+    ranked = ranked.filter(F.col("feature").isin(*feature_columns(matrix.columns))).limit(k)
     chosen = [r["feature"] for r in ranked.collect()]
     demo = ["age", "sex_male"] + [c for c in matrix.columns if c.startswith("eth_")]
     labels = [c for c in matrix.columns if c.startswith("y_")]

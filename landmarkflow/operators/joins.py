@@ -120,9 +120,14 @@ def exclude(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.filter(F.col(on).isNotNull()).join(listed, on, "left_anti")
 
 
-def map_signals(events: DataFrame, signal_map: DataFrame, source: str) -> DataFrame:
-    """Inner join with the signal lookup of one source (tens of rows: broadcast)."""
+def map_signals(events: DataFrame, signal_map: DataFrame, source: str, items=None) -> DataFrame:
+    """Inner join with the signal lookup of one source (tens of rows: broadcast).
+
+    ``items``, the configured ids, become a filter that reaches the scan.
+    """
     lookup = signal_map.filter(F.col("source") == source).drop("source")
+    if items is not None:
+        events = events.filter(F.col("itemid").isin(*items))
     return events.join(F.broadcast(lookup), "itemid")
 
 

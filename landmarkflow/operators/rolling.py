@@ -22,18 +22,21 @@ def convert_units(events: DataFrame, value: str = "valuenum", name: str = "value
 
 
 def numeric_events(chartevents: DataFrame, labevents: DataFrame, stays: DataFrame,
-                   signals: DataFrame) -> DataFrame:
+                   signals: DataFrame, items: dict | None = None) -> DataFrame:
     """Vitals and labs as one long relation ``(stay_id, t, feature_name, value)``.
 
     Labs carry no stay and are placed by admission; ``stays`` holds one stay per
-    admission (the cohort). Vitals keep their own stay.
+    admission (the cohort). Vitals keep their own stay. ``items`` has the configured
+    ids per source, for the scans.
     """
     cols = ("stay_id", F.col("charttime").alias("t"), "feature_name", "value")
     vitals = convert_units(map_signals(
-        chartevents.select("stay_id", "charttime", "itemid", "valuenum"), signals, "chartevents"))
+        chartevents.select("stay_id", "charttime", "itemid", "valuenum"), signals, "chartevents",
+        items and items["chartevents"]))
     labs = convert_units(map_signals(
         labevents.filter(F.col("hadm_id").isNotNull())
-        .select("hadm_id", "charttime", "itemid", "valuenum"), signals, "labevents"))
+        .select("hadm_id", "charttime", "itemid", "valuenum"), signals, "labevents",
+        items and items["labevents"]))
     labs = salted_join(labs.select("hadm_id", "charttime", "feature_name", "value"),
                        stays.select("hadm_id", "stay_id"), "hadm_id")
     return vitals.select(*cols).unionByName(labs.select(*cols))

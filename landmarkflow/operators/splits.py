@@ -74,12 +74,19 @@ def rank_in_order(df: DataFrame, buckets, bucket_order, order, name: str) -> Dat
 
     ``buckets`` are columns with a bounded number of combinations. Rows are
     numbered inside each bucket, and a bucket starts after the rows of those
-    before it, which is known from one count per bucket.
+    before it, which is known from one count per bucket. With several bucket
+    columns only the values of the first are put in order in one task.
     """
     sizes = df.groupBy(*buckets).agg(F.count("*").alias("_size"))
-    ahead = Window.orderBy(*bucket_order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*buckets, F.coalesce(F.sum("_size").over(ahead), F.lit(0))
+    first = sizes.groupBy(buckets[0]).agg(F.sum("_size").alias("_all"))
+    ahead = Window.orderBy(bucket_order[0]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = first.select(buckets[0], F.coalesce(F.sum("_all").over(ahead), F.lit(0))
                           .alias("_from"))
+    if len(buckets) > 1:
+        within = (Window.partitionBy(buckets[0]).orderBy(*bucket_order[1:])
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        starts = sizes.withColumn("_in", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(
+            starts, buckets[0]).select(*buckets, (F.col("_from") + F.col("_in")).alias("_from"))
     inside = Window.partitionBy(*buckets).orderBy(*order)
     return (df.withColumn("_pos", F.row_number().over(inside) - 1)
             .join(starts, list(buckets))

@@ -15,7 +15,7 @@ from landmarkflow.operators.windows import trailing_min, trailing_sums
 from landmarkflow.plans.registry import query
 from landmarkflow.sources import tables as tb
 from landmarkflow.sources.clinical import cast_columns, stage_table
-from landmarkflow.sources.signals import signal_map
+from landmarkflow.sources.signals import signal_items, signal_map
 from landmarkflow.sources.tables import run_folder
 
 LM_KEYS = ("stay_id", "landmark_time")
@@ -137,7 +137,8 @@ def _(c):
 
 @query("p4_unit_conversion", 9)
 def _(c):
-    rows = jn.map_signals(c.fx.chartevents, signal_map(c.spark), "chartevents")
+    rows = jn.map_signals(c.fx.chartevents, signal_map(c.spark), "chartevents",
+                          signal_items("chartevents"))
     return ro.convert_units(rows).select("stay_id", "charttime", "itemid", "feature_name", "value")
 
 
@@ -261,7 +262,8 @@ def _(c):
 
 @query("j11_map_signals")
 def _(c):
-    rows = jn.map_signals(c.fx.labevents, signal_map(c.spark), "labevents")
+    rows = jn.map_signals(c.fx.labevents, signal_map(c.spark), "labevents",
+                          signal_items("labevents"))
     return rows.select("labevent_id", "itemid", "feature_name", "valid_low", "valid_high")
 
 

@@ -29,7 +29,7 @@ FEATURES = ["quantity", "price", "discount", "tax", "flag"]
 EDGES = {"quantity": [10.0, 25.0, 40.0], "price": [20.0, 50.0, 75.5],
          "discount": [0.02, 0.05, 0.08], "tax": [0.02, 0.05]}
 SMALL = replace(ModelConfig(), c_grid=(0.01, 0.1), folds=2, trees=8, tree_depth=3, max_iter=25,
-                additive_max_bins=6, additive_pairs=2, additive_pair_bins=3)
+                additive_max_bins=6, additive_pairs=2, additive_pair_bins=3, additive_bags=1)
 
 
 def rows(c, split=None):

@@ -20,7 +20,7 @@ from landmarkflow.operators import rolling as ro
 from landmarkflow.operators.drift import feature_drift, split_prevalence
 from landmarkflow.operators.grid import landmarks
 from landmarkflow.operators.splits import assign_splits
-from landmarkflow.sources.signals import signal_map
+from landmarkflow.sources.signals import signal_items, signal_map
 from landmarkflow.sources.tables import materialize, write_report
 
 
@@ -111,7 +111,8 @@ class Workflow:
     @cached_property
     def numeric_events(self) -> DataFrame:
         return self._step("numeric_events", ro.numeric_events(
-            self.t.chartevents, self.t.labevents, self.cohort, signal_map(self.spark)))
+            self.t.chartevents, self.t.labevents, self.cohort, signal_map(self.spark),
+            {s: signal_items(s) for s in ("chartevents", "labevents")}))
 
     @cached_property
     def rolling(self) -> DataFrame:

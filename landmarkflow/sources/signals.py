@@ -24,6 +24,11 @@ def signal_rows(vitals=VITALS, labs=LABS, fahrenheit=FAHRENHEIT_ITEMS) -> list:
     return rows
 
 
+def signal_items(source: str, **signals) -> list:
+    """Item ids of one source that the lookup has."""
+    return sorted({r[2] for r in signal_rows(**signals) if r[1] == source})
+
+
 def signal_map(spark: SparkSession, **signals) -> DataFrame:
     """The lookup as a DataFrame (29 rows with the defaults)."""
     return spark.createDataFrame(signal_rows(**signals), SCHEMA)

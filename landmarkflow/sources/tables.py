@@ -26,14 +26,9 @@ def write_parquet(df: DataFrame, path: str, partition_by=(), codec: str = "zstd"
     writer.parquet(path)
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
-    """One CSV file with a header, for report tables of checked size.
-
-    ``coalesce(1)`` puts the result into one task, so the row count is checked
-    first; a larger frame is written as several files instead.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    (df.coalesce(1) if small else df).write.mode("overwrite").csv(path, header=True)
+def write_report(df: DataFrame, path: str) -> None:
+    """CSV with a header in every file; as many files as the frame has partitions."""
+    df.write.mode("overwrite").csv(path, header=True)
 
 
 def values_column(values) -> "F.Column":

@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
-from landmarkflow.sources.fixtures import FIXTURE_CONFIG
-from landmarkflow.sources.signals import signal_rows
 from oracles.base import assemble, cte
 
 ORACLES = {}
 
+# --- fixed values: name, source, item id, valid range, multiplier, offset ------------
+SIGNALS = (
+  ('heart_rate', 'chartevents', 220045, 20.0, 300.0, 1.0, 0.0),
+  ('sbp', 'chartevents', 220050, 40.0, 300.0, 1.0, 0.0),
+  ('sbp', 'chartevents', 220179, 40.0, 300.0, 1.0, 0.0),
+  ('dbp', 'chartevents', 220051, 20.0, 200.0, 1.0, 0.0),
+  ('dbp', 'chartevents', 220180, 20.0, 200.0, 1.0, 0.0),
+  ('map', 'chartevents', 220052, 30.0, 250.0, 1.0, 0.0),
+  ('map', 'chartevents', 220181, 30.0, 250.0, 1.0, 0.0),
+  ('resp_rate', 'chartevents', 220210, 4.0, 70.0, 1.0, 0.0),
+  ('spo2', 'chartevents', 220277, 50.0, 100.0, 1.0, 0.0),
+  ('temperature_c', 'chartevents', 223762, 30.0, 45.0, 1.0, 0.0),
+  ('gcs_eye', 'chartevents', 220739, 1.0, 4.0, 1.0, 0.0),
+  ('gcs_verbal', 'chartevents', 223900, 1.0, 5.0, 1.0, 0.0),
+  ('gcs_motor', 'chartevents', 223901, 1.0, 6.0, 1.0, 0.0),
+  ('temperature_c', 'chartevents', 223761, 30.0, 45.0, 0.5555555555555556, -32.0),
+  ('creatinine', 'labevents', 50912, 0.1, 30.0, 1.0, 0.0),
+  ('bun', 'labevents', 51006, 1.0, 200.0, 1.0, 0.0),
+  ('potassium', 'labevents', 50971, 1.5, 10.0, 1.0, 0.0),
+  ('sodium', 'labevents', 50983, 110.0, 170.0, 1.0, 0.0),
+  ('bicarbonate', 'labevents', 50882, 5.0, 50.0, 1.0, 0.0),
+  ('chloride', 'labevents', 50902, 70.0, 140.0, 1.0, 0.0),
+  ('glucose', 'labevents', 50931, 20.0, 1000.0, 1.0, 0.0),
+  ('glucose', 'labevents', 50809, 20.0, 1000.0, 1.0, 0.0),
+  ('hemoglobin', 'labevents', 51222, 2.0, 25.0, 1.0, 0.0),
+  ('hematocrit', 'labevents', 51221, 10.0, 70.0, 1.0, 0.0),
+  ('wbc', 'labevents', 51301, 0.1, 100.0, 1.0, 0.0),
+  ('platelets', 'labevents', 51265, 5.0, 1500.0, 1.0, 0.0),
+  ('lactate', 'labevents', 50813, 0.1, 30.0, 1.0, 0.0),
+  ('albumin', 'labevents', 50862, 0.5, 6.0, 1.0, 0.0),
+  ('ph_arterial', 'labevents', 50820, 6.5, 8.0, 1.0, 0.0),
+)
+# --- fixed values: hash of the fixtures' configuration --------------------------------
+CONFIG_HASH = "255e0693115bad8c"
+# --- end of fixed values ---------------------------------------------------------------
+
 
 def oracle(name: str, sql: str, digits: int | None = None, doubles: str = "") -> None:
     """Register; ``doubles`` names the columns rounded to ``digits``."""
@@ -19,9 +53,10 @@ def oracle(name: str, sql: str, digits: int | None = None, doubles: str = "") ->
 
 cte("signals", "SELECT * FROM (VALUES " + ",\n  ".join(
     f"('{f}', '{s}', {i}, {lo!r}::DOUBLE, {hi!r}::DOUBLE, {m!r}::DOUBLE, {o!r}::DOUBLE)"
-    for f, s, i, lo, hi, m, o in signal_rows()) +
+    for f, s, i, lo, hi, m, o in SIGNALS) +
     ") AS t(feature_name, source, itemid, valid_low, valid_high, unit_multiplier, unit_offset)")
 
+# Item ids inside the statements below are fixed values of the source tables.
 # --- concept chain -------------------------------------------------------------------
 cte("weight", """
 SELECT s.stay_id, coalesce(
@@ -147,7 +182,7 @@ SELECT * FROM (VALUES (0, 'icustays', (SELECT count(*) FROM icustays)),
   (2, 'chartevents', (SELECT count(*) FROM chartevents)), (3, 'omr', NULL),
   (4, 'diagnoses_icd', (SELECT count(*) FROM diagnoses_icd))) AS t(position, table_name, n_rows)""")
 oracle("s11_run_columns", f"""
-SELECT count(*) AS n_stays, '{FIXTURE_CONFIG.fingerprint()}' AS config_hash FROM icustays""")
+SELECT count(*) AS n_stays, '{CONFIG_HASH}' AS config_hash FROM icustays""")
 # --- projection, filter, predicate ------------------------------------------------------
 cte("first_stay", """
 SELECT * FROM icustays
