@@ -13,7 +13,6 @@ lists of the words that some window of the block is looked up by.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landmarkflow.llm.keys import fields, positional
-from landmarkflow.llm.textbytes import chunks, prefix_codes, runs, signed, span_hashes
+from landmarkflow.llm.textbytes import chunks, prefix_codes, runs, span_hashes
 from landmarkflow.llm.steps import run_folder, written
 
 #: Bytes of words: digits, letters and everything outside ASCII. A-Z become a-z.

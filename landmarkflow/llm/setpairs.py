@@ -34,7 +34,10 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray] | None = None)
 
 def linked(left: list, right: list | None, similarity: tuple[int, int]) -> np.ndarray:
     """True where the Jaccard similarity is at least ``similarity`` (a fraction); no self links."""
-    both = intersections(left, right)
+    if right is None and len(left) == 2:
+        both = np.full((2, 2), len(np.intersect1d(*left, assume_unique=True)))
+    else:
+        both = intersections(left, right)
     a = np.array([len(s) for s in left])[:, None]
     b = np.array([len(s) for s in (left if right is None else right)])[None, :]
     ok = both * similarity[1] >= (a + b - both) * similarity[0]
