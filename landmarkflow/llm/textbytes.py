@@ -23,7 +23,15 @@ GRAM_FACTORS = _RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + n
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
-_POWERS: dict = {}
+
+class _Cache(dict):
+    """A cache that stays where it is: functions sent to tasks carry an empty one."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def powers(root: np.uint64, n: int) -> np.ndarray:
