@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,10 +119,8 @@ def fit_rules(labelled: DataFrame, params: RuleParams = RuleParams(),
     paths = tree_paths(forest.toDebugString, names)
     if not paths:
         return RuleModel(_logit(good / (good + bad)), ())
-    hits = rows.select("label", *[condition(p).cast("double").alias(f"r{i}")
-                                  for i, p in enumerate(paths)])
-    hits = VectorAssembler(inputCols=[f"r{i}" for i in range(len(paths))],
-                           outputCol="x").transform(hits)
+    hits = rows.select("label", array_to_vector(F.array(
+        *[condition(p).cast("double") for p in paths])).alias("x"))
     lasso = LogisticRegression(featuresCol="x", labelCol="label", elasticNetParam=1.0,
                                regParam=params.penalty, standardization=False,
                                maxIter=60).fit(hits)

@@ -38,7 +38,7 @@ def powers(root: np.uint64, n: int) -> np.ndarray:
     """``root ** 0 .. root ** (n - 1)`` modulo 2^64, kept between calls."""
     have = _POWERS.get(int(root))
     if have is None or len(have) < n:
-        base = np.full(max(n, CHUNK_BYTES + 1), root, np.uint64)
+        base = np.full(max(1 << n.bit_length(), 1 << 16), root, np.uint64)
         base[0] = 1
         have = _POWERS[int(root)] = np.multiply.accumulate(base)
         if n > 8 * CHUNK_BYTES:  # a very long row does not hold memory for ever
