@@ -135,6 +135,32 @@ def test_line_dedup_equals_brute_force(spark):
             assert sum(got[i] == want[i] for i in range(len(texts))) >= len(texts) - 1
 
 
+def test_line_dedup_judges_short_lines(spark):
+    texts = ["Home\nx\n\n3 of 4", "  HOME\n\nread more here", "home \nread more here\nhome page",
+             "X\n3 of 4\n3 of 5\n \n", "aaaaaaaa\naaaaaaaaa\naaaaaaa", "read our terms, 2024\nx y",
+             "read our terms, 2024.\nread no terms, 1999"]
+    got = [r.text for r in dedup_lines(H.table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["Home\nx\n\n3 of 4", "\nread more here", "home page", "3 of 5\n \n",
+                   "aaaaaaaa\naaaaaaa", "read our terms, 2024\nx y", "read no terms, 1999"]
+
+
+def test_short_lines_equal_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["".join(rng.choice("abcd efgh") for _ in range(rng.randint(1, 30))) for _ in range(80)]
+    texts = ["\n".join(x + rng.choice(["", "", ".", "xy"]) for x in rng.sample(pool, 5))
+             for _ in range(60)]
+    low = [[x.strip(" ") for x in t.split("\n")] for t in texts]
+    flat = [(d, k, x) for d, lines in enumerate(low) for k, x in enumerate(lines)]
+    first = H.classes([frozenset(x[i:i + 8] for i in range(len(x) - 7)) or
+                       (frozenset([x]) if x else frozenset()) for _, _, x in flat])
+    gone = {flat[i][:2] for i, (c, _) in enumerate(first) if c != i}
+    want = ["\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone)
+            for d, t in enumerate(texts)]
+    got = [r.text for r in dedup_lines(H.table(spark, texts)).orderBy("doc_id").collect()]
+    assert sum(len(w.split("\n")) < 5 for w in want) > 30
+    assert sum(g == w for g, w in zip(got, want)) >= len(texts) - 1
+
+
 def test_line_dedup_of_awkward_rows(spark):
     docs = H.awkward(spark)
     got = dedup_lines(docs).collect()
