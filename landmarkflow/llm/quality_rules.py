@@ -10,6 +10,8 @@ on sums per distance bin, so no group is gathered anywhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import exp, lgamma, log
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -35,22 +37,56 @@ PAIRS = tuple((i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES)))
 BINS_PER_OCTAVE = 16
 
 
+def chi2_share(x: float, d: int) -> float:
+    """Share of the chi-square distribution of ``d`` degrees of freedom up to ``x``."""
+    if x <= 0:
+        return 0.0
+    a = d / 2
+    term = total = exp(a * log(x / 2) - x / 2 - lgamma(a + 1))
+    k = 1
+    while term > 1e-17 * total:
+        term *= x / 2 / (a + k)
+        total, k = total + term, k + 1
+    return min(total, 1.0)
+
+
+def chi2_quantile(share: float, d: int) -> float:
+    low, high = 0.0, 40.0 * d + 400.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_share(middle, d) < share else (low, middle)
+    return low
+
+
 @dataclass(frozen=True)
 class RobustParams:
     """``floor`` is the standard deviation added to every axis (the regularisation);
     groups under ``min_rows`` rows share the estimate of their language, and
-    languages under it that of all rows. ``cut`` is the limit on the squared
-    distance; with eight axes it lies far beyond any usual quantile, so only
-    gross outliers go."""
+    languages under it that of all rows. A document goes if its squared distance
+    is beyond two limits for ``quantile``: that of the chi-square distribution, and
+    that of its group, whose logarithms of distances are taken as normal with the
+    centre and spread of their quartiles (real texts have longer tails than the first)."""
 
     support: float = 0.75
     steps: int = 6
     min_rows: int = 200
     floor: float = 0.35
-    cut: float = 150.0
+    quantile: float = 0.999
     min_words: int = 10
     repeat_percent: int = 20
 
+    @property
+    def cut(self) -> float:
+        return chi2_quantile(self.quantile, len(NAMES))
+
+    @property
+    def consistency(self) -> float:
+        """By this the covariance of the nearest ``support`` of normal rows is too small."""
+        if self.support >= 1:
+            return 1.0
+        d = len(NAMES)
+        return self.support / chi2_share(chi2_quantile(self.support, d), d + 2)
+
 
 def base_failed(params: RobustParams = RobustParams()) -> Column:
     return ((F.col("n_words") < params.min_words)
@@ -71,18 +107,19 @@ PARAM_COLUMNS = ([f"m{i}" for i in range(len(NAMES))] + [f"p{i}_{j}" for i, j in
 SUM_COLUMNS = ([f"s{i}" for i in range(len(NAMES))] + [f"q{i}_{j}" for i, j in PAIRS])
 
 
-def _solve(n: float, sums: np.ndarray, squares: np.ndarray, floor: float) -> np.ndarray:
+def _solve(n: float, sums: np.ndarray, squares: np.ndarray, floor: float,
+           consistency: float) -> np.ndarray:
     """Mean and precision (upper triangle) from sums of a support set."""
     d = len(NAMES)
     mean = sums / n
     cov = np.zeros((d, d))
     for (i, j), q in zip(PAIRS, squares):
         cov[i, j] = cov[j, i] = q / n - mean[i] * mean[j]
-    precision = np.linalg.inv(cov + np.eye(d) * floor ** 2)
+    precision = np.linalg.inv(consistency * cov + np.eye(d) * floor ** 2)
     return np.concatenate([mean, [precision[i, j] for i, j in PAIRS]])
 
 
-def _concentrate(support: float, floor: float):
+def _concentrate(support: float, floor: float, consistency: float):
     """Parameters of one group from its bins, nearest first, up to the support size."""
     def run(bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values("bin")
@@ -90,7 +127,7 @@ def _concentrate(support: float, floor: float):
         last = int(np.searchsorted(np.cumsum(n), support * n.sum(), "left")) + 1
         values = bins[SUM_COLUMNS].to_numpy(float)[:last].sum(axis=0)
         d = len(NAMES)
-        out = _solve(n[:last].sum(), values[:d], values[d:], floor)
+        out = _solve(n[:last].sum(), values[:d], values[d:], floor, consistency)
         return pd.DataFrame([[bins["gid"].iloc[0], *out]], columns=["gid", *PARAM_COLUMNS])
     return run
 
@@ -136,13 +173,22 @@ def fit_robust(rows: DataFrame, params: RobustParams = RobustParams(),
             F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(NAMES)],
             *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q{i}_{j}") for i, j in PAIRS])
         now = materialize(bins.groupBy("gid").applyInPandas(
-            _concentrate(params.support, params.floor), schema), f"robust_{step}", folder)
+            _concentrate(params.support, params.floor, params.consistency), schema), f"robust_{step}", folder)
     return now
 
 
+def limits(rows: DataFrame, fitted: DataFrame, params: RobustParams = RobustParams()) -> DataFrame:
+    """(gid, limit): the largest squared distance that is kept, from the group's own rows."""
+    logs = rows.join(fitted, "gid").select("gid", F.ln(_distance() + F.lit(1e-6)).alias("l"))
+    cuts = logs.groupBy("gid").agg(F.percentile_approx("l", [0.25, 0.5, 0.75], 1000).alias("c"))
+    reach = NormalDist().inv_cdf(params.quantile) / 1.349
+    own = F.exp(F.col("c")[1] + F.lit(reach) * (F.col("c")[2] - F.col("c")[0]))
+    return cuts.select("gid", F.greatest(own, F.lit(params.cut)).alias("limit"))
+
+
 def judge(docs: DataFrame, params: RobustParams = RobustParams(),
           folder: str | None = None) -> DataFrame:
-    """Per document: statistics, ``base_failed``, ``distance`` and ``kept``.
+    """Per document: statistics, ``base_failed``, ``distance``, ``limit`` and ``kept``.
 
     Estimates use every document that passes the base limits. Whole texts are
     read once; null and empty texts fail the base limit on words. Columns of
@@ -157,9 +203,11 @@ def judge(docs: DataFrame, params: RobustParams = RobustParams(),
     sound = materialize(groups(passed, params.min_rows).select("gid", *NAMES), "vectors", folder)
     fitted = fit_robust(sound, params, folder)
     keyed = groups(rows.filter("not base_failed"), params.min_rows)
+    fitted = fitted.join(limits(sound, fitted, params), "gid")
     judged = keyed.join(fitted, "gid", "left").withColumn("distance", _distance())
-    failed = rows.filter("base_failed").withColumn("distance", F.lit(None).cast("double"))
-    out = ["doc_id", "lang", "source", *STATS, "base_failed", "distance"]
+    failed = rows.filter("base_failed").withColumns(
+        {c: F.lit(None).cast("double") for c in ("distance", "limit")})
+    out = ["doc_id", "lang", "source", *STATS, "base_failed", "distance", "limit"]
     both = judged.select(*out).unionByName(failed.select(*out))
     return both.withColumn("kept", ~F.col("base_failed")
-                           & F.coalesce(F.col("distance") <= params.cut, F.lit(True)))
+                           & F.coalesce(F.col("distance") <= F.col("limit"), F.lit(True)))

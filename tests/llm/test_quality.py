@@ -55,6 +55,16 @@ def test_quality_rules(spark):
     assert judge(awkward.limit(0)).count() == 0
 
 
+def test_quality_rules_on_labelled_rows(spark, sf_dir):
+    """Outliers that are not gross go too, and clean documents stay."""
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    rows = judge(spark.read.parquet(f"{folder}/documents.parquet")).join(
+        spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("not base_failed").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) >= 20 and sum(junk) / len(junk) < 0.2
+    assert len(clean) >= 200 and sum(clean) / len(clean) > 0.99
+
+
 def test_classifier_accuracy_on_held_out_rows(spark, sf_dir):
     out = QUERIES["op9_quality_classifier"](spark, sf_dir.replace("sf0.001", "sf0.01"))
     labels = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/labels.parquet")
