@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmarkflow.llm import chat, secrets, url_rules
+from landmarkflow.llm import chat, periodic, secrets, url_rules
 from landmarkflow.llm.decontaminate import digest, matches
 from landmarkflow.llm.jaccard_join import join_documents
 from landmarkflow.llm.line_dedup import dedup_lines
@@ -95,8 +95,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, one in ten of which :func:`periodic.loop_words` edits first."""
+    edited = periodic.loop_words(_table(spark, sf_dir, "documents"))
+    return periodic.digest(periodic.periodic_runs(edited))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_jaccard_join,
     op5_chat_formatting, op6_benchmark_decontamination, op7_url_filters, op8_packing,
-    op9_quality_classifier, op10_quality_rules)}
+    op9_quality_classifier, op10_quality_rules, op13_periodic_runs)}
 
