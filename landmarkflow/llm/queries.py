@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landmarkflow.llm import chat, periodic, secrets, url_rules
+from landmarkflow.llm import alignment, chat, periodic, secrets, url_rules
 from landmarkflow.llm.decontaminate import digest, matches
 from landmarkflow.llm.jaccard_join import join_documents
 from landmarkflow.llm.line_dedup import dedup_lines
@@ -95,6 +95,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def align_params(**changes) -> alignment.AlignParams:
+    import public_tokenizers
+
+    return alignment.AlignParams(public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"),
+                                 public_tokenizers.PATTERN, **changes)
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents, with counts of id pairs over the corpus."""
+    report = alignment.link_report(_table(spark, sf_dir, "documents"), align_params())
+    return report.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                         "groups_sha256", "n_overlaps")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of all documents, one in ten of which :func:`periodic.loop_words` edits first."""
     edited = periodic.loop_words(_table(spark, sf_dir, "documents"))
@@ -104,5 +119,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_jaccard_join,
     op5_chat_formatting, op6_benchmark_decontamination, op7_url_filters, op8_packing,
-    op9_quality_classifier, op10_quality_rules, op13_periodic_runs)}
+    op9_quality_classifier, op10_quality_rules,
+    op12_cross_tokenizer_alignment, op13_periodic_runs)}
 
