@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landmarkflow.llm import alignment, chat, periodic, secrets, url_rules
 from landmarkflow.llm.decontaminate import digest, matches
+from landmarkflow.llm.fingerprints import edited_report
 from landmarkflow.llm.jaccard_join import join_documents
 from landmarkflow.llm.line_dedup import dedup_lines
 from landmarkflow.llm.oracles import ORACLES  # noqa: F401
@@ -95,6 +96,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with their likeness."""
+    return edited_report(_table(spark, sf_dir, "documents"))
+
+
 def align_params(**changes) -> alignment.AlignParams:
     import public_tokenizers
 
@@ -120,5 +126,5 @@ QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_line_dedup, op3_secret_scan, op4_ngram_jaccard_join,
     op5_chat_formatting, op6_benchmark_decontamination, op7_url_filters, op8_packing,
     op9_quality_classifier, op10_quality_rules,
-    op12_cross_tokenizer_alignment, op13_periodic_runs)}
+    op11_document_fingerprints, op12_cross_tokenizer_alignment, op13_periodic_runs)}
 
