@@ -266,9 +266,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params(),
         return _empty(docs, keep, text)
     if len(parts) == 1:
         return parts[0].drop("k1", "k2")
-    written = [written(p, f"block_{i}", folder) for i, p in enumerate(parts)]
-    hits = written[0].select("k1", "k2", "items", "hit_runs")
-    for p in written[1:]:
+    kept = [written(p, f"block_{i}", folder) for i, p in enumerate(parts)]
+    hits = kept[0].select("k1", "k2", "items", "hit_runs")
+    for p in kept[1:]:
         hits = hits.unionByName(p.select("k1", "k2", "items", "hit_runs"))
     hits = hits.filter("size(items) > 0").dropDuplicates().groupBy("k1", "k2").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -279,7 +279,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params(),
     words = F.array_distinct(F.flatten(F.transform(
         "spans", lambda s: F.sequence(s["a"], s["b"] - 1))))
     hits = hits.select("k1", "k2", "items", F.array_sort(words).alias("places"))
-    return (written[0].drop("items", "n_hit", "hit_runs").join(hits, ["k1", "k2"], "left")
+    return (kept[0].drop("items", "n_hit", "hit_runs").join(hits, ["k1", "k2"], "left")
             .select(*keep, "n_words", F.coalesce(F.size("places"), F.lit(0)).cast("long")
                     .alias("n_hit"), F.coalesce("items", F.array().cast("array<string>"))
                     .alias("items"), F.coalesce(_spans("places"), F.array().cast("array<int>"))

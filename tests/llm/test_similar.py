@@ -105,11 +105,12 @@ def brute_lines(texts, params):
     low = [[x.translate(H.LOWER).strip("\t\n\x0b\x0c\r ") for x in (t or "").split("\n")]
            for t in texts]
     judged = [(d, k) for d, lines in enumerate(low) for k, x in enumerate(lines)
-              if len(x.encode()) >= params.min_bytes]
+              if x]
     sets = []
     for d, k in judged:
         raw = low[d][k].encode()
-        sets.append(frozenset(raw[i:i + params.chars] for i in range(len(raw) - params.chars + 1)))
+        sets.append(frozenset(raw[i:i + params.chars] for i in range(len(raw) - params.chars + 1))
+                    or frozenset([raw]))
     first = H.classes(sets, params.similarity)
     gone = {judged[i] for i, (c, _) in enumerate(first) if c != i}
     return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if (d, k) not in gone)
