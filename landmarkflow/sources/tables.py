@@ -26,9 +26,11 @@ def write_parquet(df: DataFrame, path: str, partition_by=(), codec: str = "zstd"
     writer.parquet(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """CSV with a header in every file; as many files as the frame has partitions."""
-    df.write.mode("overwrite").csv(path, header=True)
+def write_report(df: DataFrame, path: str, summary: bool = True) -> None:
+    """CSV with headers. A ``summary`` is one file: its rows are bounded by the
+    configuration (a row per check, feature, threshold or result). Other frames give a
+    file per partition."""
+    (df.coalesce(1) if summary else df).write.mode("overwrite").csv(path, header=True)
 
 
 def values_column(values) -> "F.Column":
@@ -51,7 +53,9 @@ def work_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can "
                          "reach before materialising tables")
-    return _LOCAL_DIR.setdefault(context.applicationId, tempfile.mkdtemp(prefix="spark-"))
+    if context.applicationId not in _LOCAL_DIR:
+        _LOCAL_DIR[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIR[context.applicationId]
 
 
 def run_folder(spark: SparkSession) -> str:

@@ -144,6 +144,8 @@ def test_sinks(spark, tmp_path):
     assert any("zstd" in f.name for f in (tmp_path / "p").iterdir())
     tables.write_report(df, str(tmp_path / "r"))
     assert len(list((tmp_path / "r").glob("*.csv"))) == 1
+    tables.write_report(df.repartition(3), str(tmp_path / "many"), summary=False)
+    assert len(list((tmp_path / "many").glob("*.csv"))) == 3
     manifest = tables.input_manifest(spark.read.parquet(str(tmp_path / "p"))).collect()
     assert sum(r["n_rows"] for r in manifest) == 10
     twice = [tables.input_manifest(spark.read.parquet(str(tmp_path / "p"))).collect()
