@@ -1,31 +1,66 @@
-"""Patient-level bootstrap: whole patients are drawn, not rows."""
+"""Patient-level bootstrap: whole patients are drawn, not rows.
+
+Scores are sorted once and cut into runs, one row each. A run carries its scores with
+the numbers of their patients; how often an iteration draws each patient is worked out
+where the run is, from hashes, so no row is ever repeated for an iteration. A run's
+partial state is a few sums per iteration. Sums of the runs before it, and of the scores
+it shares with its neighbours, place a run in the whole ranking; with them it gives its
+part of every ranking measure, and parts add up. What is shuffled for the iterations is
+runs x iterations, whatever the number of rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landmarkflow.evaluation.calibration import (bin_edges, calibration_of_scores, ece_of_scores,
+                                                 newton_update, starting_state)
 from landmarkflow.evaluation.curves import discrimination
 from landmarkflow.operators.splits import hash_bucket, rank_in_order
 from landmarkflow.sources.tables import materialize, run_folder
 
+#: Scores of a run, and (score, iteration) cells that are worked on at a time.
+RUN_ROWS, CELLS = 1 << 18, 1 << 21
+CALIBRATION = ("calibration_slope", "calibration_intercept")
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """The finalizer of a 32-bit Murmur hash."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x = x * np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
 
-def patient_draws(subjects: DataFrame, subject: str, iterations: int, n: int) -> DataFrame:
-    """``(iter, subject, times)``: each iteration draws ``n`` patients with replacement.
+class Draws:
+    """How often each of ``n`` patients is drawn: ``n`` draws with replacement an iteration.
 
-    Slot ``i`` of iteration ``b`` takes patient number ``h mod n``, ``h`` being
-    the first 8 hex digits of ``md5("b:i")``: the draws are the same on every
-    run, engine and retry. Patients are numbered by (hash bucket, id).
+    Slot ``i`` of iteration ``b`` takes patient ``h n div 2^32``, ``h`` being
+    ``mix32(mix32(i) xor mix32(b + 1))``: the same on every run, engine and retry.
     """
-    numbered = rank_in_order(subjects.select(subject).withColumn("_b", hash_bucket(subject)),
-                             ["_b"], ["_b"], [F.col(subject)], "_idx").select(subject, "_idx")
-    slots = numbered.select("_idx", F.explode(F.sequence(
-        F.lit(0), F.lit(iterations - 1))).alias("iter"))
-    digest = F.md5(F.concat_ws(":", F.col("iter").cast("string"), F.col("_idx").cast("string")))
-    drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.lit(n)
-    counts = (slots.select("iter", drawn.alias("_idx")).groupBy("iter", "_idx")
-              .agg(F.count("*").alias("times")))
-    return counts.join(numbered, "_idx").select("iter", subject, "times")
+
+    def __init__(self, n: int):
+        self.n, self.slots = n, mix32(np.arange(n, dtype=np.uint32))
+
+    def counts(self, iteration: int) -> np.ndarray:
+        own = mix32(np.array([iteration + 1], np.uint32))[0]
+        picked = mix32(self.slots ^ own).astype(np.uint64) * np.uint64(self.n)
+        return np.bincount((picked >> np.uint64(32)).astype(np.int64), minlength=self.n)
+
+    def table(self, iterations) -> np.ndarray:
+        """Patients by iterations."""
+        return np.stack([self.counts(b) for b in iterations], axis=1).astype(np.float64)
+
+
+def numbered_patients(subjects: DataFrame, subject: str) -> DataFrame:
+    """``subject`` and its number ``_idx``, counted by (hash bucket, id)."""
+    return rank_in_order(subjects.select(subject).withColumn("_b", hash_bucket(subject)),
+                         ["_b"], ["_b"], [F.col(subject)], "_idx").select(subject, "_idx")
 
 
 def patient_scores(df: DataFrame, subject: str = "subject_id", by=(), y: str = "y", p: str = "p"
@@ -33,43 +68,315 @@ def patient_scores(df: DataFrame, subject: str = "subject_id", by=(), y: str = "
     """Positives and negatives per (patient, group, distinct score)."""
     hit = F.col(y) == 1
     return (df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-            .groupBy(subject, *by, F.col(p).alias("p"))
+            .groupBy(subject, *by, F.col(p).cast("double").alias("p"))
             .agg(F.sum(F.when(hit, 1).otherwise(0)).alias("pos"),
                  F.sum(F.when(hit, 0).otherwise(1)).alias("neg")))
 
 
-def bootstrap_scores(per_patient: DataFrame, subjects: DataFrame, iterations: int,
-                     subject: str = "subject_id", by=()) -> DataFrame:
-    """Score tables of all iterations: ``(iter, by, p, pos, neg)``, rows weighted by
-    how often their patient was drawn. A patient's draws are one array (of at most
-    ``iterations`` entries) until they have met the patient's scores."""
-    draws = patient_draws(subjects, subject, iterations, subjects.count()).groupBy(subject).agg(
-        F.collect_list(F.struct("iter", "times")).alias("_draws"))
-    rows = (per_patient.join(draws, subject)
-            .select(*by, "p", "pos", "neg", F.explode("_draws").alias("_d")))
-    return rows.groupBy("_d.iter", *by, "p").agg(
-        F.sum(F.col("pos") * F.col("_d.times")).alias("pos"),
-        F.sum(F.col("neg") * F.col("_d.times")).alias("neg"))
+RUN_COLUMNS = ("p", "idx", "pos", "neg")
 
 
-def bootstrap_ci(df: DataFrame, metrics, iterations: int = 1000, level: float = 0.95,
-                 subject: str = "subject_id", by=(), y: str = "y", p: str = "p",
-                 metric_fn=discrimination) -> DataFrame:
-    """Point estimate and percentile interval per metric.
+def _pack(limit: int):
+    """Rows sorted by (group, falling score) as runs of one group."""
+    def run(batches):
+        group, held, n = None, [], 0
+
+        def emit():
+            cols = [np.concatenate([h[k] for h in held]) for k in range(4)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([group], pa.int64())]
+                + [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v))
+                   for v in cols], names=["_g", *RUN_COLUMNS])
+
+        for batch in batches:
+            g, *cols = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if n and (g[a] != group or n >= limit):
+                    yield emit()
+                    held, n = [], 0
+                if b > a:
+                    group = int(g[a])
+                    held.append([v[a:b] for v in cols])
+                    n += b - a
+        if n:
+            yield emit()
+    return run
+
+
+def score_runs(scores: DataFrame, by, patients: DataFrame, subject: str, folder: str
+               ) -> DataFrame:
+    """Written runs: ``_g`` (hash of the group), ``run``, and arrays by falling score.
+
+    Rows with one score may be in several runs, so a score that many rows share is cut too.
+    """
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    rows = scores.join(patients, subject).select(
+        group.alias("_g"), "p", F.col("_idx").cast("int").alias("idx"),
+        F.col("pos").cast("bigint").alias("pos"), F.col("neg").cast("bigint").alias("neg"))
+    order = ["_g", F.desc("p"), "idx"]
+    sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    packed = sorted_.mapInArrow(_pack(RUN_ROWS), "_g bigint, p array<double>, idx array<int>, "
+                                                 "pos array<bigint>, neg array<bigint>")
+    return materialize(packed.select("_g", F.monotonically_increasing_id().alias("run"),
+                                     *RUN_COLUMNS), "runs", folder)
+
+
+class Run:
+    """One run, its distinct scores and the weights of some iterations."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.p, self.idx, self.pos, self.neg = (
+            np.asarray(row[c].values.to_numpy(zero_copy_only=False)) for c in RUN_COLUMNS)
+        self.first = np.flatnonzero(np.r_[True, self.p[1:] != self.p[:-1]])
+        self.scores = self.p[self.first]
+
+    def weigh(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Drawn positives and negatives per (distinct score, iteration)."""
+        drawn = table[self.idx]
+        return (np.add.reduceat(drawn * self.pos[:, None], self.first, axis=0),
+                np.add.reduceat(drawn * self.neg[:, None], self.first, axis=0))
+
+
+def _per_iteration(work, n: int, iterations_of, names):
+    """Task code: ``work(run, pos, neg, lo, hi)`` over blocks of a run's iterations.
+
+    It gives one array of a value per iteration for every one of ``names``.
+    """
+    def run(batches):
+        draws = Draws(n)
+        for batch in batches:
+            runs = [Run({c: batch.column(c)[k] for c in batch.schema.names})
+                    for k in range(batch.num_rows)]
+            for r in runs:
+                every = iterations_of(r)
+                step = max(1, CELLS // max(len(r.p), n))
+                for lo in range(0, len(every), step):
+                    hi = min(lo + step, len(every))
+                    pos, neg = r.weigh(draws.table(every[lo:hi]))
+                    out = work(r, pos, neg, lo, hi)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r.row["_g"].as_py()] * (hi - lo), pa.int64()),
+                         pa.array([r.row["run"].as_py()] * (hi - lo), pa.int64()),
+                         pa.array(np.asarray(every[lo:hi], np.int32)),
+                         *[pa.array(np.broadcast_to(v, hi - lo).astype(np.float64))
+                           for v in out]],
+                        names=["_g", "run", "iter", *names])
+    return run, "_g bigint, run bigint, iter int, " + ", ".join(f"{c} double" for c in names)
+
+
+SIDES = ("wp", "wn", "fp", "fn", "lp", "ln")
+
+
+def partial_states(runs: DataFrame, n: int, iterations: int, bins: int, eps: float = 1e-9
+                   ) -> DataFrame:
+    """Per (group, run, iteration): first and last score, positives and negatives drawn in
+    all, at the first and at the last score, squared error, and counts per score bin."""
+    edges = np.array(bin_edges(bins))
+    names = ("p_first", "p_last", *SIDES, "square",
+             *[f"bin_{k}_{i}" for i in range(bins) for k in ("n", "pos", "sum")])
 
-    ``metric_fn(scores, by)`` maps a score table to one row of metrics per
-    group. With ``by``, all groups must hold the same patients, as they share
-    the draws.
+    def work(r, pos, neg, lo, hi):
+        q = r.scores[:, None]
+        clipped = np.clip(r.scores, eps, 1.0 - eps)
+        at = np.clip(np.searchsorted(edges, clipped, "right") - 1, 0, bins - 1)
+        both, out = pos + neg, []
+        for i in range(bins):
+            own = at == i
+            out += [both[own].sum(0), pos[own].sum(0), (both[own] * clipped[own, None]).sum(0)]
+        return (r.scores[0], r.scores[-1], pos.sum(0), neg.sum(0), pos[0], neg[0], pos[-1],
+                neg[-1], (pos * (q - 1.0) ** 2 + neg * q ** 2).sum(0), *out)
+
+    run, schema = _per_iteration(work, n, lambda r: range(iterations), names)
+    return runs.mapInArrow(run, schema)
+
+
+OFFSETS = ("above_p", "above_n", "before_p", "before_n", "after_p", "after_n", "all_p", "all_n")
+
+
+def run_offsets(states: DataFrame) -> DataFrame:
+    """Per (group, run, iteration) what lies around the run: drawn positives and negatives
+    of higher scores, of its first score in runs before it, of its last score in runs
+    after it, and of the whole group. Windows hold a row per run of one group."""
+    key = ["_g", "iter"]
+    order = [F.desc("p_first"), F.desc("p_last"), F.col("run")]
+    back = [F.asc("p_first"), F.asc("p_last"), F.desc("run")]
+    ahead = Window.partitionBy(*key).orderBy(*order)
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy(*key, "p_last").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    first = Window.partitionBy(*key, "p_first").orderBy(*back).rowsBetween(
+        Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*key)
+    summed = states.select(
+        *key, "run", "p_first", "p_last",
+        *[F.coalesce(F.sum(f"w{s}").over(before), F.lit(0.0)).alias(f"_above_{s}") for s in "pn"],
+        *[F.sum(f"l{s}").over(last).alias(f"_last_{s}") for s in "pn"],
+        *[F.sum(f"f{s}").over(first).alias(f"_first_{s}") for s in "pn"],
+        *[F.sum(f"w{s}").over(group).alias(f"all_{s}") for s in "pn"])
+    tie_before = F.lag("p_last").over(ahead) == F.col("p_first")
+    tie_after = F.lead("p_first").over(ahead) == F.col("p_last")
+    near = summed.select(
+        "*", *[F.when(tie_before, F.lag(f"_last_{s}").over(ahead)).otherwise(0.0)
+               .alias(f"before_{s}") for s in "pn"],
+        *[F.when(tie_after, F.lead(f"_first_{s}").over(ahead)).otherwise(0.0)
+          .alias(f"after_{s}") for s in "pn"])
+    return near.select(*key, "run", *[(F.col(f"_above_{s}") - F.col(f"before_{s}"))
+                                      .alias(f"above_{s}") for s in "pn"], *OFFSETS[2:])
+
+
+PARTS = ("area", "precision_area", "sensitivity", "specificity")
+
+
+def ranking_parts(runs: DataFrame, offsets: DataFrame, n: int, level: float) -> DataFrame:
+    """Per (group, run, iteration) the run's part of the ranking measures; NaN is no value."""
+    packed = offsets.groupBy("_g", "run").agg(
+        F.sort_array(F.collect_list(F.struct("iter", *OFFSETS))).alias("_o"))
+
+    def work(r, pos, neg, lo, hi):
+        found = r.row["_o"].values
+        o = {c: found.field(k + 1).to_numpy(zero_copy_only=False)[lo:hi]
+             for k, c in enumerate(OFFSETS)}
+        tp, fp = ((o[f"above_{s}"] + o[f"before_{s}"]) + np.cumsum(x, axis=0)
+                  for s, x in (("p", pos), ("n", neg)))
+        tied = pos.copy()
+        for x, s in ((tp, "p"), (fp, "n"), (tied, "p")):
+            x[-1] += o[f"after_{s}"]
+        tied[0] += o["before_p"]
+        area = (neg * (tp - tied / 2.0)).sum(0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            share = np.where(tp + fp > 0, tp / (tp + fp), 0.0)
+            precision = (pos / o["all_p"] * share).sum(0)
+            tpr, spec = tp / o["all_p"], 1.0 - fp / o["all_n"]
+            return (area, precision, np.where(spec >= level, tpr, -1.0).max(0),
+                    np.where(tpr >= level, spec, -1.0).max(0))
+
+    run, schema = _per_iteration(
+        work, n, lambda r: r.row["_o"].values.field(0).to_numpy(), PARTS)
+    return runs.join(packed, ["_g", "run"]).mapInArrow(run, schema)
+
+
+def drawn_measures(states: DataFrame, parts: DataFrame, bins: int, level: float) -> DataFrame:
+    """Every measure per (group, iteration) but those of the calibration fit."""
+    tag = round(level * 100)
+    sums = states.groupBy("_g", "iter").agg(
+        *[F.sum(c).alias(c) for c in ("wp", "wn", "square")],
+        *[F.sum(f"bin_{k}_{i}").alias(f"bin_{k}_{i}") for i in range(bins)
+          for k in ("n", "pos", "sum")])
+    ranked = parts.groupBy("_g", "iter").agg(
+        F.sum("area").alias("area"), F.sum("precision_area").alias("precision_area"),
+        F.max("sensitivity").alias("sensitivity"), F.max("specificity").alias("specificity"))
+    pos, neg = F.col("wp"), F.col("wn")
+    total = pos + neg
+    gaps = sum((F.abs(F.col(f"bin_sum_{i}") - F.col(f"bin_pos_{i}")) for i in range(1, bins)),
+               F.abs(F.col("bin_sum_0") - F.col("bin_pos_0")))
+    both = (pos > 0) & (neg > 0)
+    return sums.join(ranked, ["_g", "iter"]).filter(total > 0).select(
+        "_g", "iter", (F.col("area") / F.nullif(pos * neg, F.lit(0.0))).alias("auroc"),
+        F.when(pos > 0, F.col("precision_area")).alias("auprc"),
+        (pos / total).alias("prevalence"), total.alias("n"), pos.alias("n_pos"),
+        F.when(both, F.greatest(F.col("sensitivity"), F.lit(0.0)))
+        .alias(f"sensitivity_at_spec_{tag}"),
+        F.when(both & (F.col("specificity") >= 0), F.col("specificity"))
+        .alias(f"specificity_at_sens_{tag}"),
+        (F.col("square") / total).alias("brier"), (gaps / total).alias("ece"))
+
+
+GRADIENT = ("g0", "g1", "h00", "h01", "h11")
+
+
+def drawn_calibration(runs: DataFrame, states: DataFrame, start: DataFrame, n: int, folder: str,
+                      c: float = 1e6, max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """Slope and intercept per (group, iteration): Newton steps of all iterations at once.
+
+    A step reads the runs once; ``start`` has each group's fit to all patients. The
+    parameters sent to the tasks are two numbers per group and iteration.
+    """
+    keys = ["_g", "iter"]
+    sides = states.groupBy(*keys).agg(F.sum("wp").alias("_p"), F.sum(F.col("wp") + F.col("wn"))
+                                      .alias("_t"))
+    fitted = sides.join(start, "_g", "left")
+    state = materialize(starting_state(fitted, keys, "_sa", "_sb"), "drawn_calibration_0", folder)
+
+    def work(r, pos, neg, lo, hi):
+        found = r.row["_s"].values
+        a, b = (found.field(k).to_numpy(zero_copy_only=False)[lo:hi] for k in (1, 2))
+        p = np.clip(r.scores, 1e-9, 1.0 - 1e-9)
+        z = np.log(p / (1.0 - p))[:, None]
+        both = pos + neg
+        with np.errstate(over="ignore"):
+            mu = 1.0 / (1.0 + np.exp(-(a + b * z)))
+        res, wt = pos - both * mu, both * mu * (1.0 - mu)
+        return (res.sum(0), (res * z).sum(0), wt.sum(0), (wt * z).sum(0), (wt * z * z).sum(0))
+
+    for step in range(1, max_iter + 1):
+        still = state.filter("_open")
+        if still.isEmpty():
+            break
+        packed = still.groupBy("_g").agg(
+            F.sort_array(F.collect_list(F.struct("iter", "_a", "_b"))).alias("_s"))
+        run, schema = _per_iteration(
+            work, n, lambda r: r.row["_s"].values.field(0).to_numpy(), GRADIENT)
+        sums = runs.join(F.broadcast(packed), "_g").mapInArrow(run, schema).groupBy(*keys).agg(
+            *[F.sum(x).alias(x) for x in GRADIENT])
+        state = materialize(newton_update(state, sums, keys, c, tol),
+                            f"drawn_calibration_{step}", folder)
+    return state.select(*keys, F.col("_b").alias("calibration_slope"),
+                        F.col("_a").alias("calibration_intercept"))
+
+
+def bootstrap_draws(df: DataFrame, metrics, iterations: int = 1000, subject: str = "subject_id",
+                    by=(), y: str = "y", p: str = "p", bins: int = 10, level: float = 0.90
+                    ) -> tuple[DataFrame, DataFrame]:
+    """The measures of each group's score table, and those of every iteration.
+
+    With ``by``, all groups share the draws; a group's scores may lack patients. An
+    iteration that draws no row of a group gives it no value.
     """
-    by, metrics, folder = list(by), list(metrics), run_folder(df.sparkSession)
+    by, folder = list(by), run_folder(df.sparkSession)
     scores = materialize(patient_scores(df, subject, by, y, p), "patient_scores", folder)
-    subjects = materialize(df.select(subject).distinct(), "patients", folder)
-    casts = [F.col(m).cast("double").alias(m) for m in metrics]
+    patients = materialize(numbered_patients(df.select(subject).distinct(), subject), "patients",
+                           folder)
+    n = patients.count()
     whole = scores.groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    point = metric_fn(whole, by).select(*by, *casts).unpivot(
-        by, metrics, "metric", "point")
-    draws = metric_fn(bootstrap_scores(scores, subjects, iterations, subject, by), ["iter", *by]).select(
-        *by, *casts).unpivot(by, metrics, "metric", "value")
+    point = discrimination(whole, by, level)
+    group = (F.xxhash64(*by) if by else F.lit(0).cast("bigint")).alias("_g")
+    parts = [ece_of_scores(whole, by, bins)]
+    fitted = None
+    if set(CALIBRATION) & set(metrics):
+        fitted = materialize(calibration_of_scores(whole, by), "calibration", folder)
+        parts.append(fitted)
+    keys = [*by] or ["_one"]
+    point = point if by else point.withColumn("_one", F.lit(1))
+    for part in parts:
+        point = point.join(part if by else part.withColumn("_one", F.lit(1)), keys)
+    runs = score_runs(scores, by, patients, subject, folder)
+    states = materialize(partial_states(runs, n, iterations, bins), "states", folder)
+    ranked = ranking_parts(runs, run_offsets(states), n, level)
+    drawn = drawn_measures(states, ranked, bins, level)
+    if fitted is not None:
+        start = fitted.select(group, F.col("calibration_intercept").alias("_sa"),
+                              F.col("calibration_slope").alias("_sb"))
+        drawn = drawn.join(drawn_calibration(runs, states, start, n, folder), ["_g", "iter"],
+                           "left")
+    if by:
+        groups = scores.select(*by, group).distinct()
+        drawn = drawn.join(groups, "_g")
+    return point.select(*by, *metrics), drawn.select(*by, "iter", *metrics)
+
+
+def bootstrap_ci(df: DataFrame, metrics, iterations: int = 1000, level: float = 0.95,
+                 subject: str = "subject_id", by=(), y: str = "y", p: str = "p", bins: int = 10,
+                 ) -> DataFrame:
+    """Point estimate and percentile interval per metric: ``(by, metric, point, ci_lower,
+    ci_upper)``, over the iterations that give the metric a value."""
+    by, metrics = list(by), list(metrics)
+    whole, drawn = bootstrap_draws(df, metrics, iterations, subject, by, y, p, bins)
+    casts = [F.col(m).cast("double").alias(m) for m in metrics]
+    point = whole.select(*by, *casts).unpivot(by, metrics, "metric", "point")
+    draws = drawn.select(*by, *casts).unpivot(by, metrics, "metric", "value")
     tail = (1.0 - level) / 2.0
     finite = draws.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     ci = finite.groupBy(*by, "metric").agg(

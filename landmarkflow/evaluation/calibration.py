@@ -63,10 +63,7 @@ def calibration_of_scores(scores: DataFrame, by=(), c: float = 1e6, max_iter: in
                          (F.col("pos") + F.col("neg")).alias("_n")).persist()
     try:
         sides = data.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("_n").alias("_t"))
-        two = (F.col("_p") > 0) & (F.col("_p") < F.col("_t"))
-        state = materialize(sides.select(
-            *keys, F.when(two, 0.0).alias("_a"), F.when(two, 0.0).alias("_b"),
-            F.coalesce(two, F.lit(False)).alias("_open")), "calibration_0", folder)
+        state = materialize(starting_state(sides, keys), "calibration_0", folder)
         for step in range(1, max_iter + 1):
             if state.filter("_open").isEmpty():
                 break
@@ -86,6 +83,23 @@ def _newton_step(data: DataFrame, state: DataFrame, keys, c: float, tol: float)
     sums = rows.groupBy(*keys).agg(
         F.sum(res).alias("g0"), F.sum(res * z).alias("g1"), F.sum(wt).alias("h00"),
         F.sum(wt * z).alias("h01"), F.sum(wt * z * z).alias("h11"))
+    return newton_update(state, sums, keys, c, tol)
+
+
+def starting_state(sides: DataFrame, keys, a=None, b=None) -> DataFrame:
+    """``keys``, ``_a``, ``_b``, ``_open`` from positives ``_p`` and rows ``_t`` per key.
+
+    Keys with one class are closed and have no parameters. Columns ``a`` and ``b`` may
+    hold values to start from.
+    """
+    two = F.coalesce((F.col("_p") > 0) & (F.col("_p") < F.col("_t")), F.lit(False))
+    a, b = (F.coalesce(F.col(x), F.lit(0.0)) if x else F.lit(0.0) for x in (a, b))
+    return sides.select(*keys, F.when(two, a).alias("_a"), F.when(two, b).alias("_b"),
+                        two.alias("_open"))
+
+
+def newton_update(state: DataFrame, sums: DataFrame, keys, c: float, tol: float) -> DataFrame:
+    """The next state, from the gradient and curvature sums of the open keys."""
     g1, h11 = F.col("g1") - F.col("_b") / c, F.col("h11") + 1.0 / c
     det = F.col("h00") * h11 - F.col("h01") * F.col("h01")
     ok = F.coalesce((det > 0) & (det < float("inf")), F.lit(False))

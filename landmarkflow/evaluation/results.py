@@ -88,7 +88,7 @@ def evaluate_all(predictions: DataFrame, cfg: EvalConfig = EvalConfig(), tasks=N
     from landmarkflow.evaluation.calibration import reliability
     from landmarkflow.evaluation.decision import decision_curve, thresholds
     from landmarkflow.evaluation.fairness import subgroup_report
-    from landmarkflow.evaluation.report import full_report, report_of_scores
+    from landmarkflow.evaluation.report import full_report
     from landmarkflow.operators.features import select_results
 
     rows = select_results(predictions, tasks, families, models)
@@ -96,7 +96,7 @@ def evaluate_all(predictions: DataFrame, cfg: EvalConfig = EvalConfig(), tasks=N
     grid = thresholds(cfg.threshold_min, cfg.threshold_max, cfg.threshold_step)
     summary = full_report(rows, by, cfg.calibration_bins)
     ci = bootstrap_ci(rows, KEY_METRICS, iterations or cfg.bootstrap_iterations, cfg.confidence,
-                      by=by, metric_fn=report_of_scores)
+                      by=by, bins=cfg.calibration_bins)
     curves = decision_curve(rows, grid, by)
     final = final_results(ci)
     return {"test_summary": summary, "bootstrap_ci": ci, "decision_curve": curves,

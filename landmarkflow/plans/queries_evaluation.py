@@ -106,7 +106,8 @@ def _(c):
 
 @query("e11_bootstrap_ci", 9)
 def _(c):
-    return bootstrap_ci(test_rows(c), ("auroc", "auprc", "brier", "prevalence", "n_pos"), 20)
+    return bootstrap_ci(test_rows(c), ("auroc", "auprc", "brier", "prevalence", "n_pos"),
+                        c.cfg.evaluation.bootstrap_iterations)
 
 
 @query("e12_subgroup_report", 6)
@@ -138,7 +139,7 @@ def _(c):
 
 @query("e16_evaluate_all", 6)
 def _(c):
-    return results.evaluate_all(predictions(c), c.cfg.evaluation, iterations=10)["final_results"]
+    return results.evaluate_all(predictions(c), c.cfg.evaluation)["final_results"]
 
 
 @query("e17_final_results", 9)

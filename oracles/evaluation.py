@@ -165,9 +165,21 @@ oracle("e10_full_report", "SELECT * FROM pred_report", 6,
 cte("subj", """
 SELECT subject_id, row_number() OVER (ORDER BY substr(md5(subject_id::VARCHAR), 1, 3),
   subject_id) - 1 AS i FROM (SELECT DISTINCT subject_id FROM test_scored)""")
-cte("draws", """
-SELECT b, ('0x' || substr(md5(b || ':' || i), 1, 8))::BIGINT % (SELECT count(*) FROM subj) AS pick
-FROM subj, (SELECT unnest(range(0, 20)) AS b)""")
+def mix32(x: str) -> str:
+    """Nested form of the 32-bit finalizer the draws are made with."""
+    def step(shift: int, x: str, factor: str) -> str:
+        return f"((xor({x}, {x} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+    x = step(13, step(16, f"({x})::UBIGINT", "2246822507"), "3266489909")
+    return f"xor({x}, {x} >> 16)"
+
+
+cte("slots", f"SELECT i, {mix32('i')} AS h FROM subj")
+cte("rounds", f"SELECT b, {mix32('b + 1')} AS h FROM (SELECT unnest(range(0, 1000)) AS b)")
+cte("draws", f"""
+SELECT b, (h * n) >> 32 AS pick
+FROM (SELECT b, {mix32('h')} AS h FROM (
+  SELECT b, xor(s.h, r.h) AS h FROM slots s, rounds r)),
+  (SELECT count(*)::UBIGINT AS n FROM subj)""")
 cte("resampled", """
 SELECT b, y, p FROM draws JOIN subj ON subj.i = pick
 JOIN test_scored t ON t.subject_id = subj.subject_id""")

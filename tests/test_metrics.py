@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from landmarkflow.config import EvalConfig
+from landmarkflow.evaluation import bootstrap, curves, decision, results
 from landmarkflow.evaluation import calibration as cal
-from landmarkflow.evaluation import curves, decision, results
-from landmarkflow.evaluation.bootstrap import bootstrap_ci, patient_draws
+from landmarkflow.evaluation.bootstrap import Draws, bootstrap_ci, bootstrap_draws
 from landmarkflow.evaluation.fairness import flag_disparity, subgroup_report
 from landmarkflow.evaluation.report import full_report
 
@@ -116,10 +116,49 @@ def test_bootstrap_brackets_the_point_and_weights_patients(spark):
     df = frame(spark, y, p, rng.integers(0, 50, 300))
     rows = {r["metric"]: r for r in bootstrap_ci(df, ("auroc", "brier"), 60).collect()}
     assert rows["auroc"]["ci_lower"] <= rows["auroc"]["point"] <= rows["auroc"]["ci_upper"]
-    subjects = df.select("subject_id").distinct()
-    n = subjects.count()
-    draws = patient_draws(subjects, "subject_id", 5, n).groupBy("iter").agg(F.sum("times"))
-    assert {r[1] for r in draws.collect()} == {n}
+    draws = Draws(5000)
+    tables = [draws.counts(b) for b in range(40)]
+    assert all(t.sum() == 5000 and len(t) == 5000 for t in tables)
+    # counts are those of draws with replacement, and iterations do not depend on each other
+    assert abs(np.mean([(t == 0).mean() for t in tables]) - np.exp(-1)) < 0.01
+    assert abs(np.mean([np.corrcoef(tables[k], tables[k + 1])[0, 1] for k in range(39)])) < 0.01
+
+
+METRICS = ("auroc", "auprc", "brier", "prevalence", "n", "n_pos", "ece", "calibration_slope",
+           "calibration_intercept", "sensitivity_at_spec_90", "specificity_at_sens_90")
+
+
+@pytest.mark.parametrize("rows", [bootstrap.RUN_ROWS, 9])
+def test_iterations_equal_reports_of_repeated_rows(spark, monkeypatch, rows):
+    """Each iteration against the full report of its rows spelt out, also with scores that
+    many runs share, a group with one class, and many small runs."""
+    monkeypatch.setattr(bootstrap, "RUN_ROWS", rows)
+    rng = np.random.default_rng(6)
+    n = 420
+    y = rng.integers(0, 2, n)
+    p = np.round(np.clip(0.25 * y + rng.uniform(0, 0.75, n), 0.02, 0.97), 3)
+    p[:140] = rng.choice([0.1, 0.5, 0.9], 140)
+    group = np.where(np.arange(n) % 3 == 0, "ties", "mixed")
+    group[rng.permutation(n)[:12]] = "one"
+    y[group == "one"], p[300:] = 1, p[300]
+    df = frame(spark, y, p, rng.integers(0, 40, n), g=group)
+    patients = bootstrap.numbered_patients(df.select("subject_id").distinct(), "subject_id")
+    place = {r["subject_id"]: r["_idx"] for r in patients.collect()}
+    _, drawn = bootstrap_draws(df, METRICS, 3, by=["g"])
+    got = {(r["g"], r["iter"]): r for r in drawn.collect()}
+    again = df.collect()
+    for b in range(3):
+        times = Draws(len(place)).counts(b)
+        rows_ = [r for r in again for _ in range(times[place[r["subject_id"]]])]
+        want = {r["g"]: r for r in full_report(spark.createDataFrame(rows_, df.schema),
+                                               ["g"]).collect()}
+        for g, w in want.items():
+            for m in METRICS:
+                have = got[g, b][m]
+                if w[m] is None or (m.startswith("s") and w["n_pos"] in (0, w["n"])):
+                    assert have is None or np.isnan(have) or m.startswith("s"), (g, b, m)
+                else:
+                    assert have == pytest.approx(w[m], rel=1e-6, abs=1e-7), (g, b, m)
 
 
 def test_bootstrap_of_one_patient_is_degenerate(spark):
