@@ -28,7 +28,7 @@ from landmarkflow.llm.steps import run_folder, written
 from landmarkflow.llm.textbytes import chunks, mix
 
 #: Entries a product spells out at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 18
 #: Longer texts go through the tokenizer's own library: the look-ahead of the word
 #: pattern overflows the faster one's stack on white space of about a million characters.
 LONG_TEXT = 200_000
@@ -45,7 +45,7 @@ class AlignParams:
     a: str
     b: str
     pattern: str
-    chunk_bytes: int = 1 << 22
+    chunk_bytes: int = 1 << 21
 
 
 def byte_letters() -> dict:
