@@ -233,11 +233,20 @@ class ModelConfig:
     additive_pair_bins: int = 32
     additive_pairs: int = 10
     additive_bags: int = 8
-    trees: int = 100
+    additive_learning_rate: float = 0.01
+    additive_rounds: int = 5000
+    additive_early_stopping: int = 50
+    additive_min_rows: int = 2
+    trees: int = 2000
     tree_learning_rate: float = 0.05
-    tree_depth: int = 5
+    tree_leaves: int = 31
+    tree_depth: int = -1
     tree_min_rows: int = 20
     tree_subsample: float = 0.8
+    tree_column_share: float = 0.8
+    tree_alpha: float = 0.0
+    tree_lambda: float = 0.0
+    tree_early_stopping: int = 100
     calibration: str = "isotonic"
 # --- end of fixed values -------------------------------------------------------
 

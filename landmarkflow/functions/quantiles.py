@@ -24,18 +24,24 @@ def exact_quantiles(df: DataFrame, by, value: str, probs) -> DataFrame:
     upto = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (placed.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"))
              .withColumn("_total", F.sum("_c").over(group))
-             .withColumn("_last", F.sum("_c").over(upto) - 1)
-             .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+             .withColumn("_first", F.sum("_c").over(upto) - F.col("_c")))
 
-    # the two ranks each probability needs, matched with the cells that hold them
+    # the two ranks each probability needs, laid between the cells by their first rank
     asked = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.lit(side).alias("side"))
                       for p in probs for side in (0, 1)])
     pos = F.col("prob") * (F.col("_total") - 1)
-    wanted = (cells.select(*by, "_cell", "_first", "_last", "_total", F.explode(asked).alias("_q"))
-              .select(*by, "_cell", "_first", "_last", "_total", "_q.*")
-              .withColumn("_rank", F.when(F.col("side") == 0, F.floor(pos)).otherwise(
-                  F.ceil(pos)))
-              .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") <= F.col("_last"))))
+    totals = cells.groupBy(*by).agg(F.max("_total").alias("_total"))
+    ranks = (totals.select(*by, "_total", F.explode(asked).alias("_q"))
+             .select(*by, "_total", "_q.*")
+             .withColumn("_rank", F.when(F.col("side") == 0, F.floor(pos)).otherwise(
+                 F.ceil(pos))))
+    laid = ranks.withColumn("_at", F.col("_rank")).unionByName(
+        cells.select(*by, "_total", F.col("_first").alias("_at"), F.struct("_cell", "_first")
+                     .alias("_own")), allowMissingColumns=True)
+    held = F.last("_own", ignorenulls=True).over(
+        group.orderBy("_at", F.col("_own").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    wanted = laid.withColumn("_c", held).filter(F.col("_own").isNull()).select(
+        *by, "_total", "prob", "side", "_rank", "_c._cell", "_c._first")
     inside = (Window.partitionBy(*by, "_cell").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, 0))
     held = placed.select(*by, "_cell", "_v", "_n").join(

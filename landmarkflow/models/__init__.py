@@ -1 +1,8 @@
-"""Scorecards, additive models and boosted trees on MLlib."""
+"""Scorecards on MLlib, boosted shape functions, boosted trees."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task code travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

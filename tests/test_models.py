@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landmarkflow.config import ModelConfig
 from landmarkflow.explain import cases, importance, sheets
 from landmarkflow.explain.contributions import binned_levels, contributions, linear_terms
-from landmarkflow.models import scorecard
+from landmarkflow.models import additive, boosted, scorecard
 from landmarkflow.models.additive import fit_additive
 from landmarkflow.models.base import FittedModel, calibrate
 from landmarkflow.models.boosted import fit_gbt
@@ -95,22 +95,197 @@ def test_binned_scorecard_and_sheet(spark, toy):
         scorecard.fit_binned_scorecard(df, ["flag"], {"flag": [0.5]}, "y", (0.3,))
 
 
-def test_additive_model(spark, toy):
-    _, df = toy
-    model = fit_additive(group_kfold(df, "subject_id", 2), FEATS, "y", 5, 1, 3, 1.0, 30, "fold")
+def plain_parts(g, h, n, least):
+    """Two cuts by trying every one: the best of the whole, then the best of either part."""
+    def worth(a, b):
+        return g[a:b].sum() ** 2 / h[a:b].sum()
+
+    def best(a, b):
+        fits = [(worth(a, c) + worth(c, b) - worth(a, b), -c) for c in range(a + 1, b)
+                if n[a:c].sum() >= least and n[c:b].sum() >= least]
+        return max(fits, default=(-1.0, 0))
+
+    gain, at = best(0, len(g))
+    if gain <= 1e-12:
+        return np.zeros(len(g))
+    cuts = [0, -at, len(g)]
+    more, at = max(best(0, cuts[1]), best(cuts[1], len(g)))
+    if more > 1e-12:
+        cuts = sorted([*cuts, -at])
+    return np.concatenate([np.full(b - a, np.clip(g[a:b].sum() / h[a:b].sum(), -4, 4))
+                           for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def test_cuts_equal_trying_every_one():
+    rng = np.random.default_rng(8)
+    for bins in (1, 2, 3, 17):
+        g, h = rng.normal(size=(30, bins)), rng.uniform(0.1, 2, (30, bins))
+        n = rng.integers(0, 5, (30, bins)).astype(float)
+        got = additive.three_parts(g, h, n, 3)
+        for k in range(30):
+            assert got[k] == pytest.approx(plain_parts(g[k], h[k], n[k], 3))
+    g, h = rng.normal(size=(20, 4, 5)), rng.uniform(0.1, 2, (20, 4, 5))
+    n = rng.integers(1, 5, (20, 4, 5)).astype(float)
+    values, gains = additive.quadrants(g, h, n, 2)
+    for k in range(20):
+        def worth(*cells):
+            return g[k][cells].sum() ** 2 / h[k][cells].sum()
+        every = {(i, j): sum(worth(a, b) for a in (slice(0, i), slice(i, 4))
+                             for b in (slice(0, j), slice(j, 5))) - worth(slice(0, 4), slice(0, 5))
+                 for i in range(1, 4) for j in range(1, 5)
+                 if min(n[k][a, b].sum() for a in (slice(0, i), slice(i, 4))
+                        for b in (slice(0, j), slice(j, 5))) >= 2}
+        assert gains[k] == pytest.approx(max(every.values()))
+        i, j = max(every, key=every.get)
+        assert values[k][0, 0] == pytest.approx(g[k][:i, :j].sum() / h[k][:i, :j].sum())
+
+
+def planted(spark, n=4000, features=4, seed=1):
+    """Two shapes, one interaction, the rest noise; the label follows their sum."""
+    rng = np.random.default_rng(seed)
+    x = rng.uniform(-1, 1, (n, features))
+    z = 2.0 * np.sin(2.5 * x[:, 0]) + np.where(x[:, 1] > 0.3, 1.5, -0.5)
+    z += 2.0 * np.where((x[:, 2] > 0) == (x[:, 3] > 0), 1.0, -1.0)
+    pdf = pd.DataFrame(x, columns=[f"x{k}" for k in range(features)])
+    pdf["y"] = (rng.uniform(size=n) < 1 / (1 + np.exp(-z))).astype(int)
+    pdf["fold"], pdf["row_id"] = np.arange(n) % 4, np.arange(n)
+    return pdf, spark.createDataFrame(pdf).repartition(4)
+
+
+def test_additive_model_finds_the_planted_functions(spark, tmp_path):
+    pdf, df = planted(spark)
+    names = [f"x{k}" for k in range(4)]
+    params = additive.AdditiveParams(max_bins=32, pairs=1, pair_bins=8)
+    model = fit_additive(df, names, "y", params, "fold")
+    assert [tuple(sorted(p)) for p in model.extra["pairs"]] == [("x2", "x3")]
     close_to_logit(model, df, ["row_id"])
     shapes = importance.term_shapes(spark, model)
-    assert shapes.filter("type = 'pair'").count() == 9
     assert shapes.filter("lower > score or upper < score").count() == 0
     centred = shapes.groupBy("term").agg(F.sum(F.col("score") * F.col("mass")).alias("m"))
     assert centred.agg(F.max(F.abs("m"))).first()[0] < 1e-6
-    top = importance.global_importance(spark, model).orderBy(F.desc("importance")).first()
-    assert top["term"] == "f0"
+    for name, true in (("x0", lambda v: 2.0 * np.sin(2.5 * v)),
+                       ("x1", lambda v: np.where(v > 0.3, 1.5, -0.5))):
+        rows = model.score(df).join(contributions(df, model, ["row_id"]).filter(
+            F.col("feature") == name).select("row_id", "value", "contribution_logodds"), "row_id")
+        got = rows.select("value", "contribution_logodds").toPandas()
+        want = true(got["value"].to_numpy())
+        assert np.corrcoef(got["contribution_logodds"], want)[0, 1] > 0.95
+    top = [r["term"] for r in importance.global_importance(spark, model).orderBy(
+        F.desc("importance")).collect()]
+    assert set(top[:3]) == {"x0", "x1", *("x2 & x3", "x3 & x2")} & set(top)
+    from landmarkflow.evaluation.curves import auroc
+    fit = auroc(model.score(df)).first()["auroc"]
+    z = 2.0 * np.sin(2.5 * pdf.x0) + np.where(pdf.x1 > 0.3, 1.5, -0.5) + 2.0 * np.where(
+        (pdf.x2 > 0) == (pdf.x3 > 0), 1.0, -1.0)
+    assert fit > auroc(spark.createDataFrame(pd.DataFrame(
+        {"y": pdf.y, "p": 1 / (1 + np.exp(-z))}))).first()["auroc"] - 0.02
+    model.save(str(tmp_path / "m"))
+    again = FittedModel.load(str(tmp_path / "m"))
+    both = model.score(df).join(again.score(df).select("row_id", F.col("p").alias("q")), "row_id")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-12
+
+
+def test_planted_pair_ranks_first_among_many(spark):
+    pdf, df = planted(spark, 3000, 120, 3)
+    names = [f"x{k}" for k in range(120)]
+    medians = dict.fromkeys(names, 0.0)
+    edges = {f: [k / 8 - 1 for k in range(1, 16)] for f in names}
+    blocks = additive.pack_rows(df, names, edges, medians, ["y", "fold"], "blocks",
+                                additive.run_folder(spark))
+    flat = [np.zeros((1, 16)) for _ in names]
+    ranked = additive.rank_pairs(blocks, names, edges, flat, [0.0], additive.AdditiveParams())
+    assert len(ranked) == 120 * 119 // 2 and ranked[0][1:] == ("x2", "x3")
+
+
+def test_additive_edge_cases(spark):
+    """Gaps count at the median; constant columns, one class and one feature are fine."""
+    rows = [(float(k % 7) if k % 5 else None, 3.0, k % 2, k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, y int, fold int")
+    model = fit_additive(df, ["a", "b"], "y", additive.AdditiveParams(pairs=2, rounds=50), "fold")
+    assert model.score(df).filter("p is null or p <= 0 or p >= 1").count() == 0
+    same = fit_additive(df.withColumn("y", F.lit(1)), ["a"], "y",
+                        additive.AdditiveParams(rounds=50))
+    assert same.score(df).agg(F.min("p")).first()[0] > 0.99
+
+
+def plain_trees(x, y, cfg, edges, trees):
+    """Margins of trees grown one leaf at a time, by plain loops."""
+    bins = np.stack([np.searchsorted(edges[f], x[f], "right") for f in FEATS], axis=1)
+    up, down = len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))
+    w = np.where(y == 1, up, down)
+    margin = np.zeros(len(y))
+
+    def shrunk(g):
+        return np.sign(g) * max(abs(g) - cfg.tree_alpha, 0)
+
+    def split(rows, g, h):
+        def worth(r):
+            return shrunk(g[r].sum()) ** 2 / (h[r].sum() + cfg.tree_lambda)
+        best = None
+        for f in range(bins.shape[1]):
+            for b in range(bins[:, f].max()):
+                low, high = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+                if min(len(low), len(high)) < cfg.tree_min_rows:
+                    continue
+                gain = worth(low) + worth(high) - worth(rows)
+                if gain > 1e-12 and (best is None or gain > best[0] + 1e-9):
+                    best = (gain, low, high)
+        return best
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = w * (y - p), w * p * (1 - p)
+        leaves = [(np.arange(len(y)), 0)]
+        splits = [split(leaves[0][0], g, h)]
+        while len(leaves) < cfg.tree_leaves:
+            able = [k for k, s in enumerate(splits) if s is not None
+                    and (cfg.tree_depth < 0 or leaves[k][1] < cfg.tree_depth)]
+            if not able:
+                break
+            k = max(able, key=lambda i: splits[i][0])
+            _, low, high = splits[k]
+            depth = leaves[k][1] + 1
+            leaves[k:k + 1] = [(low, depth), (high, depth)]
+            splits[k:k + 1] = [split(low, g, h), split(high, g, h)]
+        for rows, _ in leaves:
+            margin[rows] += cfg.tree_learning_rate * shrunk(g[rows].sum()) / (
+                h[rows].sum() + cfg.tree_lambda)
+    return margin
+
+
+@pytest.mark.parametrize("depth,alpha,lam", [(-1, 0.0, 0.0), (3, 0.5, 2.0)])
+def test_trees_equal_a_plain_version(spark, toy, tmp_path, monkeypatch, depth, alpha, lam):
+    """Leaf-wise growth, penalties, depth limit; margins written between trees."""
+    monkeypatch.setattr(boosted, "CARRY", 2)
+    pdf, df = toy
+    cfg = ModelConfig(trees=5, tree_leaves=7, tree_depth=depth, tree_min_rows=15,
+                      tree_subsample=1.0, tree_column_share=1.0, tree_alpha=alpha,
+                      tree_lambda=lam, tree_learning_rate=0.3)
+    model = fit_gbt(df, FEATS, "y", cfg, bins=16)
+    x = pdf[FEATS].fillna(pd.Series(model.extra["medians"]))
+    want = plain_trees(x, pdf["y"].to_numpy(), cfg, model.extra["edges"], 5)
+    got = model.score(df).select("row_id", "p").toPandas().sort_values("row_id")["p"].to_numpy()
+    assert got == pytest.approx(1 / (1 + np.exp(-want)), abs=1e-9)
+    assert sum(model.extra["importance"].values()) == pytest.approx(1.0)
+    model.save(str(tmp_path / "m"))
+    again = FittedModel.load(str(tmp_path / "m")).score(df).select("row_id", "p").toPandas()
+    assert again.sort_values("row_id")["p"].to_numpy() == pytest.approx(got)
+
+
+def test_trees_stop_early_and_keep_the_best(spark, toy):
+    """Noise labels: the validation AUROC stops rising, and no later tree is kept."""
+    _, df = toy
+    noise = df.withColumn("y", (F.xxhash64("row_id") % 2 == 0).cast("int"))
+    cfg = ModelConfig(trees=40, tree_leaves=4, tree_early_stopping=3, tree_learning_rate=0.5)
+    model = fit_gbt(noise.filter("row_id < 300"), FEATS, "y", cfg, noise.filter("row_id >= 300"))
+    assert 0 <= model.extra["n_trees"] < 37
+    one = fit_gbt(df.withColumn("y", F.lit(1)), FEATS, "y", ModelConfig(trees=2))
+    assert one.score(df).agg(F.min("p")).first()[0] > 0.99
 
 
 def test_boosted_trees_and_calibration(toy):
     _, df = toy
-    cfg = ModelConfig(trees=5, tree_depth=3)
+    cfg = ModelConfig(trees=5, tree_leaves=8)
     model = fit_gbt(df, FEATS, "y", cfg, df.sample(0.3, seed=1))
     raw = model.score(df).agg(F.min("p"), F.max("p")).first()
     assert 0 <= raw[0] < raw[1] <= 1
