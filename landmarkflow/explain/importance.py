@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landmarkflow.config import label_column
 from landmarkflow.evaluation.curves import auroc
 from landmarkflow.explain import cases, sheets
+from landmarkflow.explain.attributions import mean_attributions
 from landmarkflow.explain.contributions import (
     binned_levels,
     contributions,
@@ -107,9 +108,8 @@ def explain_all(spark, fitted: dict, matrices: dict, tasks=None, families=None,
         test = load_split(matrices[family].filter(F.col(y).isNotNull()), "test")
         if name == "boosted":
             tables["permutation_importance"] = permutation_importance(test, model, y)
-            out[triple] = tables
-            continue
-        if name == "additive":
+            tables["mean_attributions"] = mean_attributions(test, model)
+        elif name == "additive":
             tables["term_shapes"] = term_shapes(spark, model)
         elif model.extra["representation"] == "binned":
             sheet = sheets.binned_sheet(binned_levels(spark, model))

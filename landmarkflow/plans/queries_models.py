@@ -18,18 +18,20 @@ from landmarkflow.explain.contributions import (
     term_overlap,
 )
 from landmarkflow.models import design, scorecard
-from landmarkflow.models.additive import fit_additive
+from landmarkflow.models.additive import AdditiveParams, fit_additive
 from landmarkflow.models.base import calibrate
 from landmarkflow.models.boosted import fit_gbt
-from landmarkflow.models.train import predict_all, search, train_all
+from landmarkflow.models.train import fit_model, predict_all, search, train_all
 from landmarkflow.operators.splits import group_kfold
 from landmarkflow.plans.registry import query
 
 FEATURES = ["quantity", "price", "discount", "tax", "flag"]
 EDGES = {"quantity": [10.0, 25.0, 40.0], "price": [20.0, 50.0, 75.5],
          "discount": [0.02, 0.05, 0.08], "tax": [0.02, 0.05]}
-SMALL = replace(ModelConfig(), c_grid=(0.01, 0.1), folds=2, trees=8, tree_depth=3, max_iter=25,
-                additive_max_bins=6, additive_pairs=2, additive_pair_bins=3, additive_bags=1)
+#: Settings of the queries that need many fits, or a fit only to read something off it.
+SMALL = replace(ModelConfig(), c_grid=(0.01, 0.1), folds=2, trees=12, tree_leaves=8, max_iter=25,
+                additive_max_bins=6, additive_pairs=2, additive_pair_bins=3, additive_bags=2,
+                additive_rounds=300)
 
 
 def rows(c, split=None):
@@ -114,18 +116,22 @@ def _(c):
 
 def additive(c, fold=False):
     train = group_kfold(rows(c, "train"), "subject_id", 2) if fold else rows(c, "train")
-    return fit_additive(train, FEATURES, "y", 6, 2, 3, 1.0, 25, "fold" if fold else None)
+    return fit_additive(train, FEATURES, "y", AdditiveParams(6, 2, 3, rounds=300),
+                        "fold" if fold else None)
 
 
 @query("m5_additive_model", 3)
 def _(c):
-    model = additive(c)
+    """The configured model: 256 bins, eight bags, ten pairs of a grid of 32 bins."""
+    model = fit_model("additive", rows(c, "train"), rows(c, "val"), FEATURES, "y", ModelConfig())
     return full_report(model.score(rows(c, "test")).select("y", "p"), calibration=False)
 
 
 @query("m6_boosted_trees", 3)
 def _(c):
-    model = fit_gbt(rows(c, "train"), FEATURES, "y", SMALL, rows(c, "val"))
+    """The configured trees of 31 leaves, but no more than 25 of them."""
+    model = fit_gbt(rows(c, "train"), FEATURES, "y", replace(ModelConfig(), trees=25),
+                    rows(c, "val"))
     return full_report(model.score(rows(c, "test")).select("y", "p"), calibration=False)
 
 
@@ -211,8 +217,15 @@ def _(c):
     model = fit_gbt(rows(c, "train"), FEATURES, "y", SMALL)
     test = rows(c, "test").withColumn("row_key", F.concat_ws(
         "|", "stay_id", "l_linenumber", "quantity", "price", "discount"))
-    return importance.permutation_importance(test, model, "y", ["quantity", "discount", "flag"],
-                                             ("row_key",))
+    return importance.permutation_importance(test, model, "y", None, ("row_key",))
+
+
+@query("x3_tree_attributions", 3)
+def _(c):
+    """Mean attributions of boosted trees over the test rows."""
+    from landmarkflow.explain.attributions import mean_attributions
+
+    return mean_attributions(rows(c, "test"), fit_gbt(rows(c, "train"), FEATURES, "y", SMALL))
 
 
 @query("x4_linear_sheet", 6)

@@ -283,6 +283,52 @@ def test_trees_stop_early_and_keep_the_best(spark, toy):
     assert one.score(df).agg(F.min("p")).first()[0] > 0.99
 
 
+def coalition_value(tree, bins, coalition, node=0):
+    """Expected value of a tree when only the coalition's features are known."""
+    a, b = tree["left"][node], tree["right"][node]
+    if a < 0:
+        return tree["value"][node]
+    if tree["feature"][node] in coalition:
+        low = bins[tree["feature"][node]] <= tree["bin"][node]
+        return coalition_value(tree, bins, coalition, a if low else b)
+    rows = tree["rows"]
+    return (rows[a] * coalition_value(tree, bins, coalition, a)
+            + rows[b] * coalition_value(tree, bins, coalition, b)) / rows[node]
+
+
+def test_tree_attributions_equal_sums_over_coalitions(spark, toy):
+    from itertools import combinations
+    from math import factorial
+
+    from landmarkflow.explain import attributions
+    from landmarkflow.models.base import with_margin
+
+    pdf, df = toy
+    model = fit_gbt(df, FEATS, "y", ModelConfig(trees=4, tree_leaves=9, tree_min_rows=10,
+                                                tree_learning_rate=0.3), bins=8)
+    table = attributions.tree_attributions(df, model, ["row_id"])
+    got = {(r["row_id"], r["feature"]): r["contribution_logodds"] for r in table.collect()}
+    total = table.groupBy("row_id").agg(F.sum("contribution_logodds").alias("s"))
+    gap = with_margin(df, model, "m").join(total, "row_id").agg(
+        F.max(F.abs(F.col("m") - F.col("s") - attributions.base_margin(model)))).first()[0]
+    assert gap < 1e-9
+    x = pdf[FEATS].fillna(pd.Series(model.extra["medians"])).to_numpy()
+    for row in range(0, 500, 50):
+        bins = [int(np.searchsorted(model.extra["edges"][f], x[row, k], "right"))
+                for k, f in enumerate(FEATS)]
+        for i, f in enumerate(FEATS):
+            others = [k for k in range(4) if k != i]
+            want = sum(factorial(size) * factorial(3 - size) / factorial(4)
+                       * (coalition_value(t, bins, {*c, i}) - coalition_value(t, bins, set(c)))
+                       for t in model.extra["trees"] for size in range(4)
+                       for c in combinations(others, size))
+            assert got[row, f] == pytest.approx(want, abs=1e-9)
+    mean = {r["feature"]: r["mean_abs"] for r in
+            attributions.mean_attributions(df, model).collect()}
+    assert set(mean) == set(FEATS) and max(mean, key=mean.get) == "f0"
+    assert table.filter("value is null").count() == pdf["f1"].isna().sum()
+
+
 def test_boosted_trees_and_calibration(toy):
     _, df = toy
     cfg = ModelConfig(trees=5, tree_leaves=8)

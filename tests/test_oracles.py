@@ -37,6 +37,7 @@ def test_every_query_has_a_known_check():
                        "m5_additive_model", "m6_boosted_trees", "m7_calibrated",
                        "m8_batch_score", "m9_train_all", "m10_search", "x1_global_importance",
                        "x2_additive_contributions", "x3_permutation_importance",
+                       "x3_tree_attributions",
                        "x7_term_shapes", "x9_explain_all", "c5_full_run", "e16_evaluate_all"}
 
 
