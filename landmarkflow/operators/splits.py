@@ -93,17 +93,48 @@ def rank_in_order(df: DataFrame, buckets, bucket_order, order, name: str) -> Dat
             .withColumn(name, F.col("_from") + F.col("_pos")).drop("_from", "_pos"))
 
 
+def packing_runs(sizes, k: int) -> list:
+    """Which folds the groups of each size go to, as (size, first, end, folds).
+
+    ``sizes`` are (size, number of groups), largest size first; groups are numbered in that
+    order. Each goes to the lightest fold, ties to the lowest number. Groups ``first`` to
+    ``end`` of a run go to its folds in turn: while the lightest folds are closer together
+    than a group, they take turns, so whole rounds are dealt at once.
+    """
+    loads, out, place = [0] * k, [], 0
+    for size, n in sizes:
+        while n:
+            order = sorted(range(k), key=lambda i: (loads[i], i))
+            near = [i for i in order if loads[i] < loads[order[0]] + size]
+            room = (n if len(near) == k else
+                    (loads[order[len(near)]] - loads[near[-1]] - 1) // size * len(near))
+            take = min(n, max(room, 1))
+            turn = near[:take]
+            for at, i in enumerate(turn):
+                loads[i] += size * len(range(at, take, len(near)))
+            out.append((size, place, place + take, turn))
+            place, n = place + take, n - take
+    return out
+
+
 def group_kfold(df: DataFrame, group: str = "subject_id", k: int = 5) -> DataFrame:
     """Fold per row: no group in two folds, sizes balanced.
 
-    Groups are ranked by size, largest first, and dealt out in serpentine order
-    (0..k-1, k-1..0, ...). Equal sizes are numbered by hash bucket, so the many
-    small groups of a large table are ranked in parallel.
+    Groups go largest first to the lightest fold. Only the histogram of group sizes is
+    needed for that (its rows are the different sizes); groups of one size are numbered
+    by hash bucket, so the many small groups of a large table are ranked in parallel.
     """
     sizes = (df.groupBy(group).agg(F.count("*").alias("_n"))
              .withColumn("_hash", hash_bucket(group, 2)))
+    histogram = sizes.groupBy("_n").agg(F.count("*").alias("c")).orderBy(F.desc("_n")).collect()
+    runs: dict = {}
+    for size, *run in packing_runs([(r["_n"], r["c"]) for r in histogram], k):
+        runs.setdefault(size, []).append(tuple(run))
+    table = df.sparkSession.createDataFrame(
+        list(runs.items()), "_n bigint, _runs array<struct<a:bigint,b:bigint,folds:array<int>>>")
     ranked = rank_in_order(sizes, ["_n", "_hash"], [F.desc("_n"), F.col("_hash")],
-                           [F.col(group)], "_rank")
-    turn, seat = F.floor(F.col("_rank") / k), F.pmod(F.col("_rank"), F.lit(k))
-    fold = F.when(turn % 2 == 0, seat).otherwise(k - 1 - seat).cast("int")
-    return salted_join(df, ranked.select(group, fold.alias("fold")), group)
+                           [F.col(group)], "_rank").join(table, "_n")
+    own = F.filter("_runs", lambda r: (r["a"] <= F.col("_rank")) & (F.col("_rank") < r["b"]))
+    placed = ranked.select(group, "_rank", F.get(own, F.lit(0)).alias("_r"))
+    turn = F.pmod(F.col("_rank") - F.col("_r.a"), F.size("_r.folds")).cast("int")
+    return salted_join(df, placed.select(group, F.get("_r.folds", turn).alias("fold")), group)

@@ -374,12 +374,19 @@ SELECT subject_id, count(DISTINCT {SPLIT}) AS n_splits FROM lm GROUP BY 1 HAVING
 oracle("q10_load_split", f"SELECT stay_id, subject_id, landmark_time, {SPLIT} AS split FROM lm "
        "WHERE split = 'test'")
 oracle("q11_group_kfold", """
-SELECT l_orderkey, l_linenumber, s.subject_id, CAST(CASE WHEN (n // 5) % 2 = 0 THEN n % 5
-  ELSE 4 - n % 5 END AS INTEGER) AS fold
-FROM scored s JOIN (
-  SELECT subject_id, row_number() OVER (ORDER BY size DESC, substr(md5(subject_id::VARCHAR), 1, 2),
-    subject_id) - 1 AS n
-  FROM (SELECT subject_id, count(*) AS size FROM scored WHERE split = 'train' GROUP BY 1)) r
+SELECT l_orderkey, l_linenumber, s.subject_id, fold FROM scored s JOIN (
+  WITH RECURSIVE sizes AS (
+    SELECT subject_id, size, row_number() OVER (ORDER BY size DESC,
+      substr(md5(subject_id::VARCHAR), 1, 2), subject_id) AS n
+    FROM (SELECT subject_id, count(*) AS size FROM scored WHERE split = 'train' GROUP BY 1)),
+  pack(n, subject_id, fold, loads) AS (
+    SELECT 0::BIGINT, NULL::BIGINT, NULL::INTEGER, [0, 0, 0, 0, 0]::BIGINT[]
+    UNION ALL
+    SELECT z.n, z.subject_id, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+      [CASE WHEN i = list_position(loads, list_min(loads)) THEN loads[i] + size ELSE loads[i] END
+       FOR i IN range(1, 6)]
+    FROM pack p JOIN sizes z ON z.n = p.n + 1)
+  SELECT subject_id, fold FROM pack WHERE n > 0) r
 ON r.subject_id = s.subject_id WHERE split = 'train'""")
 oracle("u3_split_overlap", """
 SELECT subject_id, count(DISTINCT split) AS n_splits FROM scored GROUP BY 1

@@ -12,7 +12,7 @@ from landmarkflow.functions.timefns import DAY_US, HOUR_US
 from landmarkflow.operators.grid import landmarks
 from landmarkflow.operators.joins import asof_join, events_in_episode, salted_join
 from landmarkflow.operators.rolling import rolling_features
-from landmarkflow.operators.splits import group_kfold
+from landmarkflow.operators.splits import group_kfold, packing_runs
 from landmarkflow.operators.windows import trailing_min
 
 T0 = datetime(2024, 1, 1, 3, 17, 5, 123456)
@@ -130,6 +130,28 @@ def test_salted_join_keeps_all_rows_and_a_second_exchange(spark, ev):
     assert "_part" in full
 
 
+def test_runs_equal_greedy_packing():
+    """Whole rounds at once give what one group after the other to the lightest fold gives."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        k = int(rng.integers(1, 7))
+        top = int(rng.choice([3, 40, 1000]))
+        sizes = sorted({int(x) for x in rng.integers(1, top, rng.integers(1, 9))}, reverse=True)
+        table = [(s, int(rng.integers(1, 60))) for s in sizes]
+        loads, want = [0] * k, []
+        for size, n in table:
+            for _ in range(n):
+                at = loads.index(min(loads))
+                loads[at] += size
+                want.append((size, at))
+        got = []
+        for size, a, b, folds in packing_runs(table, k):
+            assert a == len(got)
+            got += [(size, folds[i % len(folds)]) for i in range(b - a)]
+        assert got == want
+    assert len(packing_runs([(1000, 3), (1, 10**9)], 5)) < 40
+
+
 def test_group_kfold_is_disjoint_and_balanced(spark, ev):
     pdf, sdf = ev
     got = group_kfold(sdf, "key", 5).toPandas()
