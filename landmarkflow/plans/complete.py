@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from landmarkflow.config import FAMILIES, Config, label_column
 from landmarkflow.evaluation.results import evaluate_all
 from landmarkflow.explain.importance import explain_all, global_importance
-from landmarkflow.models.train import MODELS, predict_all, search, train_all
+from landmarkflow.models.train import MODELS, predict_all, train_all
+from landmarkflow.models.tune import search
 from landmarkflow.operators.features import family_columns, feature_columns, minimal_family
 from landmarkflow.operators.importance import aggregate_importance, rank_terms
 from landmarkflow.operators.splits import assign_splits, load_split

@@ -21,7 +21,8 @@ from landmarkflow.models import design, scorecard
 from landmarkflow.models.additive import AdditiveParams, fit_additive
 from landmarkflow.models.base import calibrate
 from landmarkflow.models.boosted import fit_gbt
-from landmarkflow.models.train import fit_model, predict_all, search, train_all
+from landmarkflow.models.train import fit_model, predict_all, train_all
+from landmarkflow.models.tune import SearchParams, search
 from landmarkflow.operators.splits import group_kfold
 from landmarkflow.plans.registry import query
 
@@ -177,8 +178,10 @@ def _(c):
 
 @query("m10_search", 3)
 def _(c):
-    return search(rows(c, "train"), FEATURES, "y", "scorecard", folds=2, cfg=SMALL,
-                  space=[{"C": 0.01, "target_features": 2}, {"C": 0.1, "target_features": 4}])
+    """Two random trials of a scorecard, then one proposed from them."""
+    return search(rows(c, "train"), FEATURES, "y", "scorecard", 3, 2, SMALL,
+                  space=(("C", 1e-3, 1e1, True, False), ("target_features", 2, 5, False, True)),
+                  params=SearchParams(startup=2)).drop("pruned")
 
 
 # --- explanation ------------------------------------------------------------------------------

@@ -12,7 +12,9 @@ from landmarkflow.models import additive, boosted, scorecard
 from landmarkflow.models.additive import fit_additive
 from landmarkflow.models.base import FittedModel, calibrate
 from landmarkflow.models.boosted import fit_gbt
-from landmarkflow.models.train import draw_params, fit_model, search
+from landmarkflow.models import tune
+from landmarkflow.models.train import fit_model
+from landmarkflow.models.tune import search
 from landmarkflow.operators.splits import group_kfold
 
 FEATS = [f"f{i}" for i in range(4)]
@@ -358,14 +360,72 @@ def test_permutation_keeps_the_column_and_ranks_it(toy):
     assert imp["f0"] > imp["f3"]
 
 
-def test_search_orders_trials(toy):
+def test_search_orders_trials_and_resumes(toy, tmp_path):
     _, df = toy
-    out = search(df, FEATS, "y", "scorecard", folds=2, cfg=ModelConfig(max_iter=20),
-                 space=[{"C": 0.001, "target_features": 1}, {"C": 1.0, "target_features": 4}])
-    rows = out.collect()
+    space = [{"C": 0.001, "target_features": 1}, {"C": 1.0, "target_features": 4}]
+    cfg, store = ModelConfig(max_iter=20), str(tmp_path / "study")
+    search(df, FEATS, "y", "scorecard", folds=2, cfg=cfg, space=space[:1], store=store)
+    rows = search(df, FEATS, "y", "scorecard", folds=2, cfg=cfg, space=space, store=store).collect()
     assert len(rows) == 2 and rows[0]["mean_auroc"] >= rows[1]["mean_auroc"]
-    for name in ("scorecard", "additive", "boosted"):
-        assert draw_params(name, 42, 3) == draw_params(name, 42, 3) != draw_params(name, 42, 4)
+    assert {r["trial"] for r in rows} == {0, 1} and not any(r["pruned"] for r in rows)
+    kept = tune.stored_trials(df.sparkSession, store)
+    assert [t.params for t in kept] == space and all(len(t.auroc) == 2 for t in kept)
+
+
+SPACE = (("a", 1e-3, 1e1, True, False), ("b", 0, 20, False, True))
+
+
+def rated(params, fold):
+    """Best at a = 0.1, b = 15; folds differ a little."""
+    off = abs(np.log10(params["a"]) + 1) / 4 + abs(params["b"] - 15) / 20
+    return 0.9 - 0.3 * off + 0.001 * fold, 0.5
+
+
+def test_a_resumed_study_ends_like_an_unbroken_one():
+    whole = tune.run_study("scorecard", rated, 40, 5, 3, SPACE)
+    seen = []
+    for upto in (7, 23, 40):
+        seen = tune.run_study("scorecard", rated, upto, 5, 3, SPACE, history=seen)
+    assert [t.__dict__ for t in seen] == [t.__dict__ for t in whole]
+    assert tune.run_study("scorecard", rated, 40, 5, 4, SPACE)[0].params != whole[0].params
+    for t in whole:
+        assert 1e-3 <= t.params["a"] <= 10 and t.params["b"] in range(21)
+
+
+def test_proposals_close_in_on_the_best():
+    def best(params):
+        return np.mean([max(t.mean() for t in tune.run_study(
+            "scorecard", rated, 40, 5, seed, SPACE, params=params)) for seed in range(8)])
+
+    assert best(tune.SearchParams()) > best(tune.SearchParams(startup=40)) + 0.003
+    space = tune.SPACES["boosted"]
+    for s in space:
+        for u in (0.0, 0.3, 1.0):
+            assert tune.to_unit(s, tune.from_unit(s, u)) == pytest.approx(u, abs=0.1 if s[4] else 1e-9)
+
+
+def test_density_equals_a_sum_of_cut_normals():
+    from statistics import NormalDist
+
+    kernels = [([0.5, 0.5], 1.0), ([0.1, 0.9], 0.2)]
+    x = [0.3, 0.7]
+    want = np.mean([np.prod([NormalDist(c, w).pdf(u) / (NormalDist(c, w).cdf(1)
+                                                        - NormalDist(c, w).cdf(0))
+                             for u, c in zip(x, centre)]) for centre, w in kernels])
+    assert tune.log_density(x, kernels) == pytest.approx(np.log(want))
+
+
+def test_pruning_follows_the_median():
+    done = [tune.Trial(k, {}, [v, v, v, v], [0.5] * 4) for k, v in enumerate(
+        (0.7, 0.72, 0.74, 0.76, 0.78))]
+    bad, good = (tune.Trial(9, {}, [v] * 3, [0.5] * 3) for v in (0.73, 0.75))
+    assert tune.is_hopeless(bad, done, 5, 2) and not tune.is_hopeless(good, done, 5, 2)
+    assert not tune.is_hopeless(bad, done[:4], 5, 2)
+    assert not tune.is_hopeless(tune.Trial(9, {}, [0.1, 0.1], [0, 0]), done, 5, 2)
+    study = tune.run_study("boosted", rated, 30, 5, 1, SPACE)
+    cut = [t for t in study if t.pruned]
+    assert cut and all(2 <= len(t.auroc) < 5 for t in cut)
+    assert not max(study, key=tune.Trial.mean).pruned
 
 
 def test_select_c_rules(spark):
