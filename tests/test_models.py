@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from landmarkflow.config import ModelConfig
 from landmarkflow.explain import cases, importance, sheets
 from landmarkflow.explain.contributions import binned_levels, contributions, linear_terms
-from landmarkflow.models import additive, boosted, scorecard
+from landmarkflow.models import additive, boosted, isotonic, scorecard
 from landmarkflow.models.additive import fit_additive
 from landmarkflow.models.base import FittedModel, calibrate
 from landmarkflow.models.boosted import fit_gbt
@@ -331,6 +331,35 @@ def test_tree_attributions_equal_sums_over_coalitions(spark, toy):
     assert table.filter("value is null").count() == pdf["f1"].isna().sum()
 
 
+def plain_isotonic(p, pos, n):
+    """Rate of every score by the minimum-maximum formula."""
+    def mean(a, b):
+        return pos[a:b + 1].sum() / n[a:b + 1].sum()
+    return [max(min(mean(a, b) for b in range(i, len(p))) for a in range(i + 1))
+            for i in range(len(p))]
+
+
+def test_isotonic_blocks_merge_to_the_plain_fit(spark, monkeypatch):
+    """Violations across range borders, ties of rates, and several rounds of merging."""
+    monkeypatch.setattr(isotonic, "FAN_IN", 2)
+    rng = np.random.default_rng(4)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, falling in ((1, False), (5, False), (7, True)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            p = np.sort(rng.uniform(size=60)).round(4)
+            n = rng.integers(1, 9, 60)
+            pos = rng.binomial(n, 1 - p if falling else p)
+            scores = spark.createDataFrame(
+                pd.DataFrame({"p": p, "pos": pos, "neg": n - pos}).sample(frac=1, random_state=1))
+            fit = isotonic.fit_isotonic(scores)
+            assert np.interp(p, fit.x, fit.y) == pytest.approx(plain_isotonic(p, pos, n))
+            assert (np.diff(fit.x) > 0).all() and (np.diff(fit.y) >= 0).all()
+        assert isotonic.fit_isotonic(scores.limit(0)).x == (0.0, 1.0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_boosted_trees_and_calibration(toy):
     _, df = toy
     cfg = ModelConfig(trees=5, tree_leaves=8)
