@@ -103,15 +103,19 @@ def _(c):
 # --- fits ---------------------------------------------------------------------------------
 @query("m1_sparse_scorecard", 3)
 def _(c):
-    train = group_kfold(rows(c, "train"), "subject_id", 2)
-    model = scorecard.fit_sparse_scorecard(train, FEATURES, "y", (0.001, 0.1), 3, max_iter=25)
+    cfg = ModelConfig()
+    train = group_kfold(rows(c, "train"), "subject_id", cfg.folds)
+    model = scorecard.fit_sparse_scorecard(train, FEATURES, "y", cfg.c_grid,
+                                           max_iter=cfg.max_iter)
     return linear_terms(c.spark, model).select("feature", "coefficient", "mean", "scale")
 
 
 @query("m4_binned_scorecard", 3)
 def _(c):
-    model = scorecard.fit_binned_scorecard(rows(c, "train"), FEATURES, EDGES, "y", (1.0,),
-                                           max_iter=50)
+    cfg = ModelConfig()
+    train = group_kfold(rows(c, "train"), "subject_id", cfg.folds)
+    model = scorecard.fit_binned_scorecard(train, FEATURES, EDGES, "y", cfg.c_grid,
+                                           max_iter=cfg.max_iter)
     return binned_levels(c.spark, model)
 
 
