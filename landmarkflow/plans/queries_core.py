@@ -14,7 +14,8 @@ from landmarkflow.operators import rolling as ro
 from landmarkflow.operators.windows import trailing_min, trailing_sums
 from landmarkflow.plans.registry import query
 from landmarkflow.sources import tables as tb
-from landmarkflow.sources.clinical import cast_columns, stage_table
+from landmarkflow.sources.clinical import TABLES, cast_columns, stage_table
+from landmarkflow.sources.incremental import stage_changes, update_step
 from landmarkflow.sources.signals import signal_items, signal_map
 from landmarkflow.sources.tables import run_folder
 
@@ -35,6 +36,28 @@ def _(c):
     return stage_table(c.spark, raw, "icustays", f"{raw}/staged")
 
 
+@query("s9_incremental_stage", 6)
+def _(c):
+    """Output rows staged from raw files, one kind of them in files that come later; the
+    sums per stay are brought up to date for the patients of the later files."""
+    rows, names = c.fx.outputevents, [n for n, _ in TABLES["outputevents"][1]]
+    rows = rows.withColumn("charttime", F.date_format("charttime", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    raw, late = run_folder(c.spark), F.col("itemid") == 227488
+    text = rows.select(*[F.col(n) if n in rows.columns else F.lit("").alias(n) for n in names])
+
+    def sums(t):
+        return t["outputevents"].groupBy("subject_id", "stay_id").agg(
+            F.count("*").alias("n"), F.sum("value").alias("total_ml"),
+            F.max("charttime").alias("last_time"))
+
+    for part in (~late, late):
+        (text.filter(part).write.mode("append").option("header", True)
+         .option("compression", "gzip").csv(f"{raw}/{TABLES['outputevents'][0]}"))
+        staged = stage_changes(c.spark, raw, "outputevents", f"{raw}/staged")
+        table = update_step(c.spark, "stay_sums", f"{raw}/staged", sums, {"outputevents": staged})
+    return table
+
+
 @query("s3_parquet_sink", 9)
 def _(c):
     out = f"{run_folder(c.spark)}/creatinine"

@@ -158,6 +158,9 @@ FROM icustays WHERE outtime - intime >= INTERVAL 30 HOUR""")
 oracle("s1_staged_csv", """
 SELECT subject_id, hadm_id, stay_id, first_careunit, NULL::VARCHAR AS last_careunit, intime,
   outtime, los FROM icustays""", 6, "los")
+oracle("s9_incremental_stage", """
+SELECT subject_id, stay_id, count(*) AS n, sum(value) AS total_ml, max(charttime) AS last_time
+FROM outputevents GROUP BY 1, 2""", 6, "total_ml")
 oracle("s3_parquet_sink", "SELECT * FROM cr", 9, "creatinine_mg_dl")
 oracle("s5_report_sink", """
 SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""", 6,
