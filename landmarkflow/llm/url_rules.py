@@ -1,13 +1,15 @@
 """URL filters: listed rules first, association rules over URL tokens for the rest.
 
-FP-growth finds token combinations that go with a label; those with enough
-support and confidence, and no shorter one as good, become rules. Rules are kept
+FP-growth finds token combinations that go with a label; those with enough support and
+confidence, a link to the label that chance does not explain, and no shorter one as good,
+become rules. Rules are kept
 as an inverted index from token to rule: a rule fires when all its tokens are met.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -23,9 +25,13 @@ BLOCK = "=block"
 
 @dataclass(frozen=True)
 class UrlParams:
-    """Support is a share of the labelled URLs; confidence that of a rule's URLs labelled block."""
+    """Support is a share of the labelled URLs, ``min_urls`` a least number of them that a
+    rule blocks rightly; confidence is the share of a rule's URLs labelled block. ``error`` is
+    the chance of any rule at all where labels do not depend on the URL."""
 
     min_support: float = 0.002
+    min_urls: int = 20
+    error: float = 0.01
     min_confidence: float = 0.8
     max_tokens: int = 3
 
@@ -63,19 +69,44 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(hosts, words), lambda x: ~x.rlike("^[hp][0-9]*:$")))
 
 
+def surprise(total: int, blocked: int) -> Column:
+    """Least negative log of the chance that as many of a rule's URLs are blocked though
+    labels do not depend on them (Chernoff's bound of the tail, right for small counts too);
+    0 where a rule blocks no more often than the rest.
+
+    ``support`` and ``confidence`` give the URLs with the rule and those of them to block.
+    """
+    base = blocked / total
+    met = F.round(F.col("support") * total / F.col("confidence"))
+    c = F.col("confidence")
+    rest = F.when(c < 1.0, (1.0 - c) * F.ln((1.0 - c) / (1.0 - base))).otherwise(0.0)
+    return F.when(c > base, met * (c * F.ln(c / base) + rest)).otherwise(0.0)
+
+
 def mine_rules(labelled: DataFrame, params: UrlParams = UrlParams()) -> DataFrame:
     """(rule_id, items, confidence, support) from rows with ``url`` and ``block`` (boolean).
 
-    Null labels are left out. A rule is dropped if a rule on part of its tokens
-    has at least its confidence. No labelled row, or none to block, gives none.
+    Null labels are left out; repeated rows count as often as they are given. A rule has to
+    exceed the share of blocked URLs by more than chance allows, at ``error`` divided by the
+    number of combinations looked at. It is dropped if a rule on part of its tokens has at least its
+    confidence. No labelled row, or none to block, gives none.
     """
     rows = labelled.filter("block is not null").select(
         F.when(F.col("block"), F.array_append(tokens(F.col("url")), F.lit(BLOCK)))
         .otherwise(tokens(F.col("url"))).alias("items")).filter("size(items) > 0")
-    mined = FPGrowth(itemsCol="items", minSupport=params.min_support,
+    total, blocked = rows.agg(F.count("*"), F.count_if(F.array_contains("items", BLOCK))).first()
+    support = max(params.min_support, params.min_urls / max(total, 1))
+    if support > 1.0 or blocked in (0, total):  # nothing can be told apart
+        return labelled.sparkSession.createDataFrame(
+            [], "rule_id string, items array<string>, confidence double, support double")
+    mined = FPGrowth(itemsCol="items", minSupport=support,
                      minConfidence=params.min_confidence).fit(rows)
+    tried = mined.freqItemsets.filter(~F.array_contains("items", BLOCK)
+                                      & (F.size("items") <= params.max_tokens)).count()
+    limit = log(max(tried, 1) / params.error)
     rules = mined.associationRules.filter(
-        (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= params.max_tokens)).select(
+        (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= params.max_tokens)
+        & (surprise(total, blocked) >= limit)).select(
         F.array_sort("antecedent").alias("items"), "confidence", "support")
     # A shorter rule is met through one of its tokens, so the comparison is an equality join.
     each = rules.select("items", "confidence", F.explode("items").alias("t"))

@@ -1,7 +1,10 @@
 """Quality operators, secrets and URL rules."""
 
+import itertools
+import math
 import random
 import re
+from collections import Counter
 
 import helpers as H
 import pytest
@@ -186,3 +189,57 @@ def test_mined_url_rules(spark, pages):
     out = url_rules.judge_urls(pages, labelled).filter("page_id >= 100").collect()
     assert all((r.verdict == "block") == ("casino" in r.path) for r in out)
     assert url_rules.judge_urls(pages.limit(0), labelled.limit(0)).count() == 0
+
+
+def brute_rules(rows, params):
+    """All combinations of tokens, tested and pruned one by one."""
+    rows = [(frozenset(t), b) for t, b in rows if t or b]
+    n, base = len(rows), sum(b for _, b in rows) / len(rows)
+    least = max(params.min_support, params.min_urls / n) * n - 1e-9
+    met, hit = Counter(), Counter()
+    for items, block in rows:
+        for k in range(1, params.max_tokens + 1):
+            for combo in itertools.combinations(sorted(items), k):
+                met[combo] += 1
+                hit[combo] += block
+    limit = math.log(sum(v >= least for v in met.values()) / params.error)
+    good = {}
+    for combo, m in met.items():
+        h = hit[combo]
+        c = h / m
+        fits = h >= least and c >= params.min_confidence and c > base
+        if fits and m * (c * math.log(c / base) + (
+                (1 - c) * math.log((1 - c) / (1 - base)) if c < 1 else 0)) >= limit:
+            good[combo] = h / m
+    return {c: v for c, v in good.items()
+            if not any(set(o) < set(c) and good[o] >= v for o in good)}
+
+
+def test_mining_and_pruning_equal_brute_force(spark):
+    rnd = random.Random(4)
+    urls = [f"http://{rnd.choice('ab')}.{rnd.choice(['net', 'org'])}/{rnd.choice('xyz')}"
+            f"/{rnd.choice('uvw')}/{rnd.choice('rs')}" for _ in range(600)]
+    odds = [0.95 if "/x/" in u and "a.org" in u else 0.85 if "/y/u" in u else 0.1 for u in urls]
+    rows = [(u, rnd.random() < o) for u, o in zip(urls, odds)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    tokened = labelled.select(url_rules.tokens(F.col("url")).alias("t"), "block").collect()
+    for params in (url_rules.UrlParams(), url_rules.UrlParams(min_urls=3, min_confidence=0.5)):
+        got = {tuple(r["items"]): r["confidence"]
+               for r in url_rules.mine_rules(labelled, params).collect()}
+        want = brute_rules([(r["t"], r["block"]) for r in tokened], params)
+        assert len(want) >= 2 and got == pytest.approx(want)
+
+
+def test_labels_of_chance_give_no_rule(spark):
+    for seed, share in ((1, 0.3), (2, 0.7), (3, 0.02)):
+        rnd = random.Random(seed)
+        rows = [(f"http://s{rnd.randrange(30)}.net/{rnd.choice('abc')}/{rnd.choice('xyz')}",
+                 rnd.random() < share) for _ in range(1500)]
+        labelled = spark.createDataFrame(rows, "url string, block boolean")
+        loose = url_rules.UrlParams(min_support=0.0, min_urls=1, min_confidence=0.6)
+        assert url_rules.mine_rules(labelled).count() == 0
+        assert url_rules.mine_rules(labelled, loose).count() == 0
+    # too few URLs for any rule, and labels all alike
+    few = labelled.limit(5)
+    assert url_rules.mine_rules(few).count() == 0
+    assert url_rules.mine_rules(labelled.withColumn("block", F.lit(True))).count() == 0
