@@ -34,3 +34,11 @@ def test_rounded_mean_next_to_a_tie(spark, tmp_path):
     folder = events(spark, tmp_path, amounts)
     got = entry.queries()["f8_aggregates"](spark, folder).first()
     assert got.mean_1 == expected(folder, "f8_aggregates")["mean_1"][0] == 64.0
+
+
+def test_logit_at_and_outside_the_ends(spark, tmp_path):
+    folder = events(spark, tmp_path, [0.0, 1e-8, 250.0, 499.9999999, 500.0, 560.21, -3.0])
+    got = entry.queries()["f9_logit"](spark, folder).toPandas().sort_values("event_id")
+    want = expected(folder, "f9_logit").sort_values("event_id")
+    pd.testing.assert_series_equal(got["logit_p"], want["logit_p"])
+    assert np.isneginf(got["logit_p"][0]) and np.isnan(got["logit_p"][5])
