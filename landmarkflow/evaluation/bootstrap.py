@@ -7,6 +7,10 @@ partial state is a few sums per iteration. Sums of the runs before it, and of th
 it shares with its neighbours, place a run in the whole ranking; with them it gives its
 part of every ranking measure, and parts add up. What is shuffled for the iterations is
 runs x iterations, whatever the number of rows.
+
+Scores that many patients share (binned, calibrated or tree scores) are counted first: every
+draw is made once, sent to the scores of its patients and added up per score and iteration.
+Runs are then of distinct scores with their drawn counts, and no pass draws again.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ from landmarkflow.sources.tables import materialize, run_folder
 
 #: Scores of a run, and (score, iteration) cells that are worked on at a time.
 RUN_ROWS, CELLS = 1 << 18, 1 << 21
+#: Distinct scores of all groups that are counted first, when ``TIES`` rows share one; such
+#: scores in a run, patients whose draws and rows that are in memory together, and iterations
+#: that are drawn by one task.
+FEW_SCORES, TIES, RUN_SCORES, CHUNK, CHUNK_ROWS, DRAWN = 1 << 13, 4, 256, 1 << 15, 1 << 21, 8
 CALIBRATION = ("calibration_slope", "calibration_intercept")
 
 
@@ -123,6 +131,131 @@ def score_runs(scores: DataFrame, by, patients: DataFrame, subject: str, folder:
                                      *RUN_COLUMNS), "runs", folder)
 
 
+def _draw_chunks(n: int, iterations: int, size: int):
+    """Task code: the draws of ``DRAWN`` iterations, as bytes per chunk of ``size`` patients."""
+    def run(batches):
+        draws = Draws(n)
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                every = range(block * DRAWN, min((block + 1) * DRAWN, iterations))
+                counts = np.stack([draws.counts(b) for b in every])
+                counts = counts.astype(np.uint8 if counts.max() < 256 else np.uint32)
+                chunks = range(0, n, size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(chunks), dtype=np.int32)),
+                     pa.array(np.full(len(chunks), block, np.int32)),
+                     pa.array(np.full(len(chunks), counts.itemsize, np.int32)),
+                     pa.array([counts[:, a:a + size].tobytes() for a in chunks], pa.binary())],
+                    names=["chunk", "block", "width", "counts"])
+    return run
+
+
+def _weigh_chunk(iterations: int, size: int):
+    """Task code: drawn positives and negatives per (score, iteration) of a chunk's patients."""
+    def run(rows, drawn):
+        cell, idx, pos, neg = (rows.column(c).to_numpy() for c in ("cell", "idx", "pos", "neg"))
+        order = np.argsort(cell, kind="stable")
+        cell, idx, pos, neg = cell[order], idx[order] % size, pos[order], neg[order]
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else []
+        out = np.zeros((len(first), 2, iterations))
+        for k in range(drawn.num_rows if len(first) else 0):
+            block, width = (drawn.column(c)[k].as_py() for c in ("block", "width"))
+            lo, hi = block * DRAWN, min((block + 1) * DRAWN, iterations)
+            counts = np.frombuffer(drawn.column("counts")[k].as_buffer(),
+                                   np.uint8 if width == 1 else np.uint32).reshape(hi - lo, -1)
+            for b in range(lo, hi):
+                times = counts[b - lo].astype(np.float64)[idx]
+                out[:, 0, b] = np.add.reduceat(times * pos, first)
+                out[:, 1, b] = np.add.reduceat(times * neg, first)
+        return pa.table({"cell": pa.array(cell[first] if len(first) else [], pa.int32()),
+                         "drawn": pa.array([x.tobytes() for x in out], pa.binary())})
+    return run
+
+
+def _add_drawn(batches):
+    total: dict = {}
+    for batch in batches:
+        for cell, drawn in zip(batch.column(0).to_pylist(), batch.column(1)):
+            drawn = np.frombuffer(drawn.as_buffer(), np.float64)
+            total[cell] = total[cell] + drawn if cell in total else drawn
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()),
+         pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["cell", "drawn"])
+
+
+def drawn_runs(rows: DataFrame, cells: DataFrame, n: int, n_rows: int, iterations: int,
+               folder: str) -> DataFrame:
+    """Written runs of distinct scores: ``_g``, ``run``, and by falling score ``p`` and
+    ``drawn`` (positives, then negatives of every iteration).
+
+    ``rows`` are (cell, idx, pos, neg), ``cells`` number the distinct (``_g``, ``p``). A draw
+    is made once, and rows meet the draws of their chunk of patients, so all steps grow with
+    patients and rows times iterations.
+    """
+    spark = rows.sparkSession
+    size = max(1, min(CHUNK, CHUNK_ROWS * n // max(n_rows, 1)))
+    blocks = -(-iterations // DRAWN)
+    drawn = spark.range(0, blocks, 1, min(blocks, 1000)).mapInArrow(
+        _draw_chunks(n, iterations, size), "chunk int, block int, width int, counts binary")
+    own = rows.withColumn("chunk", F.floor(F.col("idx") / size).cast("int"))
+    parts = own.groupBy("chunk").cogroup(drawn.groupBy("chunk")).applyInArrow(
+        _weigh_chunk(iterations, size), "cell int, drawn binary")
+    added = parts.repartition("cell").mapInArrow(_add_drawn, "cell int, drawn binary")
+    return materialize(
+        added.join(F.broadcast(cells), "cell").groupBy("_g", "run").agg(
+            F.sort_array(F.collect_list(F.struct("p", "drawn")), asc=False).alias("_s"))
+        .select("_g", "run", F.col("_s.p").alias("p"), F.col("_s.drawn").alias("drawn")),
+        "drawn_runs", folder)
+
+
+def cell_table(scores: DataFrame, by, folder: str) -> DataFrame:
+    """``cell, _g, run, p`` for the distinct scores of every group, at most ``FEW_SCORES``:
+    cells are numbered by group and falling score, and runs are cut at ``RUN_SCORES``."""
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    order = Window.orderBy("_g", F.desc("p"))
+    inside = Window.partitionBy("_g").orderBy(F.desc("p"))
+    cells = scores.select(group.alias("_g"), "p").distinct().select(
+        (F.row_number().over(order) - 1).alias("cell"), "_g",
+        F.floor((F.row_number().over(inside) - 1) / RUN_SCORES).cast("bigint").alias("run"), "p")
+    return materialize(cells, "cells", folder)
+
+
+def runs_of(scores: DataFrame, by, patients: DataFrame, subject: str, n: int, iterations: int,
+            folder: str) -> DataFrame:
+    """The runs of a score table: of distinct scores where they are few and shared by many
+    rows, else of rows."""
+    by = list(by)
+    n_rows = scores.count()
+    few = n_rows > RUN_ROWS and scores.select(*by, "p").distinct().limit(
+        FEW_SCORES + 1).count() <= min(FEW_SCORES, n_rows // TIES)
+    if not few:
+        return score_runs(scores, by, patients, subject, folder)
+    cells = cell_table(scores, by, folder)
+    group = F.xxhash64(*by) if by else F.lit(0).cast("bigint")
+    rows = (scores.withColumn("_g", group).join(F.broadcast(cells.drop("run")), ["_g", "p"])
+            .join(patients, subject).select("cell", F.col("_idx").cast("int").alias("idx"),
+                                            F.col("pos").cast("bigint").alias("pos"),
+                                            F.col("neg").cast("bigint").alias("neg")))
+    return drawn_runs(rows, cells, n, n_rows, iterations, folder)
+
+
+class DrawnRun:
+    """A run of distinct scores whose drawn counts are known."""
+
+    def __init__(self, row: dict):
+        self.row = row
+        self.p = self.scores = np.asarray(row["p"].values.to_numpy(zero_copy_only=False))
+        drawn = [np.frombuffer(x.as_buffer(), np.float64) for x in row["drawn"].values]
+        self.drawn = np.stack(drawn).reshape(len(self.p), 2, -1)
+
+    def at_once(self, n: int) -> int:
+        return max(1, CELLS // len(self.p))
+
+    def weigh(self, draws, iterations) -> tuple[np.ndarray, np.ndarray]:
+        own = self.drawn[:, :, np.asarray(iterations, np.int64)]
+        return own[:, 0].copy(), own[:, 1].copy()
+
+
 class Run:
     """One run, its distinct scores and the weights of some iterations."""
 
@@ -133,9 +266,13 @@ class Run:
         self.first = np.flatnonzero(np.r_[True, self.p[1:] != self.p[:-1]])
         self.scores = self.p[self.first]
 
-    def weigh(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def at_once(self, n: int) -> int:
+        """Iterations that are worked on together."""
+        return max(1, CELLS // max(len(self.p), n))
+
+    def weigh(self, draws, iterations) -> tuple[np.ndarray, np.ndarray]:
         """Drawn positives and negatives per (distinct score, iteration)."""
-        drawn = table[self.idx]
+        drawn = draws.table(iterations)[self.idx]
         return (np.add.reduceat(drawn * self.pos[:, None], self.first, axis=0),
                 np.add.reduceat(drawn * self.neg[:, None], self.first, axis=0))
 
@@ -148,14 +285,14 @@ def _per_iteration(work, n: int, iterations_of, names):
     def run(batches):
         draws = Draws(n)
         for batch in batches:
-            runs = [Run({c: batch.column(c)[k] for c in batch.schema.names})
-                    for k in range(batch.num_rows)]
-            for r in runs:
+            kind = DrawnRun if "drawn" in batch.schema.names else Run
+            for row in range(batch.num_rows):
+                r = kind({c: batch.column(c)[row] for c in batch.schema.names})
                 every = iterations_of(r)
-                step = max(1, CELLS // max(len(r.p), n))
+                step = r.at_once(n)
                 for lo in range(0, len(every), step):
                     hi = min(lo + step, len(every))
-                    pos, neg = r.weigh(draws.table(every[lo:hi]))
+                    pos, neg = r.weigh(draws, every[lo:hi])
                     out = work(r, pos, neg, lo, hi)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r.row["_g"].as_py()] * (hi - lo), pa.int64()),
@@ -352,7 +489,7 @@ def bootstrap_draws(df: DataFrame, metrics, iterations: int = 1000, subject: str
     point = point if by else point.withColumn("_one", F.lit(1))
     for part in parts:
         point = point.join(part if by else part.withColumn("_one", F.lit(1)), keys)
-    runs = score_runs(scores, by, patients, subject, folder)
+    runs = runs_of(scores, by, patients, subject, n, iterations, folder)
     states = materialize(partial_states(runs, n, iterations, bins), "states", folder)
     ranked = ranking_parts(runs, run_offsets(states), n, level)
     drawn = drawn_measures(states, ranked, bins, level)
