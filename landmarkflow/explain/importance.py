@@ -19,6 +19,7 @@ from landmarkflow.models.additive import shape_frame
 from landmarkflow.models.base import FittedModel
 from landmarkflow.operators.features import select_results
 from landmarkflow.operators.splits import load_split, rank_in_order
+from landmarkflow.sources.tables import materialize, run_folder
 
 
 def global_importance(spark, model: FittedModel) -> DataFrame:
@@ -49,12 +50,16 @@ def term_shapes(spark, model: FittedModel) -> DataFrame:
     return shape_frame(spark, model).join(ranges, ["term", "bin_a"], "left")
 
 
-def shuffled(df: DataFrame, feature: str, keys, seed: int = 42) -> DataFrame:
-    """``df`` with one column randomly permuted over all rows.
+def shuffled(df: DataFrame, features, keys, seed: int = 42, out=None) -> DataFrame:
+    """``df`` with columns randomly permuted over all rows, all by the same permutation.
 
     Rows are numbered in two hash orders; the row at place ``r`` of the first
-    takes the value of the row at place ``r`` of the second.
+    takes the values of the row at place ``r`` of the second, under the names ``out``
+    (the columns' own unless given).
     """
+    features = [features] if isinstance(features, str) else list(features)
+    out = dict(zip(features, out or features, strict=True))
+
     def order(salt):
         text = F.concat_ws("|", F.lit(f"{seed}{salt}"), *[F.col(k).cast("string") for k in keys])
         return F.md5(text)
@@ -65,22 +70,34 @@ def shuffled(df: DataFrame, feature: str, keys, seed: int = 42) -> DataFrame:
         return rank_in_order(tagged, ["_b"], ["_b"], [F.col("_h"), *map(F.col, keys)], "_place"
                              ).drop("_h", "_b")
 
-    values = numbered(df.select(*keys, feature), "b").select("_place", F.col(feature)
-                                                             .alias("_moved"))
-    out = numbered(df, "a").join(values, "_place")
-    return out.withColumn(feature, F.col("_moved")).drop("_place", "_moved").select(*df.columns)
+    values = numbered(df.select(*keys, *[F.col(f).alias(f"_moved{i}") for i, f in
+                                         enumerate(features)]), "b").drop(*keys)
+    both = numbered(df, "a").join(values, "_place")
+    for i, f in enumerate(features):
+        both = both.withColumn(out[f], F.col(f"_moved{i}"))
+    return both.select(*df.columns, *[c for c in out.values() if c not in df.columns])
 
 
 def permutation_importance(df: DataFrame, model: FittedModel, y: str, features=None,
                            keys=("stay_id", "landmark_time"), seed: int = 42) -> DataFrame:
-    """Loss of AUROC when one feature is shuffled, over all rows given."""
+    """Loss of AUROC when one feature is shuffled, over all rows given.
+
+    All features move by one permutation, so the rows are put in order and joined once;
+    what is read again per feature is written, and has the model's columns only.
+    """
     def measure(frame):
         return auroc(model.score(frame).select(F.col(y).alias("y"), "p"))
 
+    features = list(features or model.features)
+    moved = [f"_shuffled{i}" for i in range(len(features))]
+    needed = list(dict.fromkeys([*model.features, y, *keys]))
+    pairs = materialize(shuffled(df.select(*needed), features, keys, seed, moved).select(
+        *dict.fromkeys([*model.features, y]), *moved), "shuffled", run_folder(df.sparkSession))
     base = measure(df).select("auroc").scalar()
     out = None
-    for f in features or model.features:
-        part = measure(shuffled(df, f, keys, seed)).select(F.lit(f).alias("feature"), "auroc")
+    for f, other in zip(features, moved):
+        part = measure(pairs.withColumn(f, F.col(other)).drop(*moved)).select(
+            F.lit(f).alias("feature"), "auroc")
         out = part if out is None else out.unionByName(part)
     return out.withColumn("auroc_full", base).select(
         "feature", "auroc_full", F.col("auroc").alias("auroc_shuffled"),

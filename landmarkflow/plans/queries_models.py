@@ -25,6 +25,7 @@ from landmarkflow.models.train import fit_model, predict_all, train_all
 from landmarkflow.models.tune import SearchParams, search
 from landmarkflow.operators.splits import group_kfold
 from landmarkflow.plans.registry import query
+from landmarkflow.sources.tables import materialize, run_folder
 
 FEATURES = ["quantity", "price", "discount", "tax", "flag"]
 EDGES = {"quantity": [10.0, 25.0, 40.0], "price": [20.0, 50.0, 75.5],
@@ -47,6 +48,14 @@ def rows(c, split=None):
     return out.filter(F.col("split") == split) if split else out
 
 
+def stored(c, split=None):
+    """:func:`rows`, written once per query: a fit goes through its rows many times, and would
+    join line items and orders again each time."""
+    if "_stored" not in vars(c):
+        c._stored = materialize(rows(c), "model_rows", run_folder(c.spark))
+    return c._stored.filter(F.col("split") == split) if split else c._stored
+
+
 def profiled_terms(c):
     """Term table of a linear card: profiles and moments from the data, given coefficients."""
     train = rows(c, "train")
@@ -104,7 +113,7 @@ def _(c):
 @query("m1_sparse_scorecard", 3)
 def _(c):
     cfg = ModelConfig()
-    train = group_kfold(rows(c, "train"), "subject_id", cfg.folds)
+    train = group_kfold(stored(c, "train"), "subject_id", cfg.folds)
     model = scorecard.fit_sparse_scorecard(train, FEATURES, "y", cfg.c_grid,
                                            max_iter=cfg.max_iter)
     return linear_terms(c.spark, model).select("feature", "coefficient", "mean", "scale")
@@ -113,14 +122,14 @@ def _(c):
 @query("m4_binned_scorecard", 3)
 def _(c):
     cfg = ModelConfig()
-    train = group_kfold(rows(c, "train"), "subject_id", cfg.folds)
+    train = group_kfold(stored(c, "train"), "subject_id", cfg.folds)
     model = scorecard.fit_binned_scorecard(train, FEATURES, EDGES, "y", cfg.c_grid,
                                            max_iter=cfg.max_iter)
     return binned_levels(c.spark, model)
 
 
 def additive(c, fold=False):
-    train = group_kfold(rows(c, "train"), "subject_id", 2) if fold else rows(c, "train")
+    train = group_kfold(stored(c, "train"), "subject_id", 2) if fold else stored(c, "train")
     return fit_additive(train, FEATURES, "y", AdditiveParams(6, 2, 3, rounds=300),
                         "fold" if fold else None)
 
@@ -128,16 +137,16 @@ def additive(c, fold=False):
 @query("m5_additive_model", 3)
 def _(c):
     """The configured model: 256 bins, eight bags, ten pairs of a grid of 32 bins."""
-    model = fit_model("additive", rows(c, "train"), rows(c, "val"), FEATURES, "y", ModelConfig())
-    return full_report(model.score(rows(c, "test")).select("y", "p"), calibration=False)
+    model = fit_model("additive", stored(c, "train"), stored(c, "val"), FEATURES, "y", ModelConfig())
+    return full_report(model.score(stored(c, "test")).select("y", "p"), calibration=False)
 
 
 @query("m6_boosted_trees", 3)
 def _(c):
     """The configured trees of 31 leaves, but no more than 25 of them."""
-    model = fit_gbt(rows(c, "train"), FEATURES, "y", replace(ModelConfig(), trees=25),
-                    rows(c, "val"))
-    return full_report(model.score(rows(c, "test")).select("y", "p"), calibration=False)
+    model = fit_gbt(stored(c, "train"), FEATURES, "y", replace(ModelConfig(), trees=25),
+                    stored(c, "val"))
+    return full_report(model.score(stored(c, "test")).select("y", "p"), calibration=False)
 
 
 @query("m7_calibrated", 3)
@@ -145,8 +154,8 @@ def _(c):
     """Expected calibration error of balanced trees before and after calibration."""
     from landmarkflow.evaluation.calibration import ece
 
-    model = fit_gbt(rows(c, "train"), FEATURES, "y", SMALL)
-    val, test = rows(c, "val"), rows(c, "test")
+    model = fit_gbt(stored(c, "train"), FEATURES, "y", SMALL)
+    val, test = stored(c, "val"), stored(c, "test")
     out = ece(model.score(test)).select(F.lit("none").alias("method"), "ece")
     for method in ("isotonic", "sigmoid"):
         calibrate(model, val, "y", method)
@@ -156,15 +165,13 @@ def _(c):
 
 @query("m8_batch_score", 6)
 def _(c):
-    model = scorecard.fit_binned_scorecard(rows(c, "train"), FEATURES, EDGES, "y", (1.0,),
+    model = scorecard.fit_binned_scorecard(stored(c, "train"), FEATURES, EDGES, "y", (1.0,),
                                            max_iter=50)
-    return model.score(rows(c, "test")).select("stay_id", "l_linenumber", "quantity", "p")
+    return model.score(stored(c, "test")).select("stay_id", "l_linenumber", "quantity", "p")
 
 
 def trained(c, families=("scorecard_primary_v2",), models=("additive", "scorecard")):
     """Models on the clinical matrix, written first as it is read by every fit."""
-    from landmarkflow.sources.tables import materialize
-
     matrix = materialize(c.wf.split_matrix, "split_matrix", c.wf.folder)
     from landmarkflow.config import FAMILIES
     from landmarkflow.operators.features import family_columns
@@ -183,7 +190,7 @@ def _(c):
 @query("m10_search", 3)
 def _(c):
     """Two random trials of a scorecard, then one proposed from them."""
-    return search(rows(c, "train"), FEATURES, "y", "scorecard", 3, 2, SMALL,
+    return search(stored(c, "train"), FEATURES, "y", "scorecard", 3, 2, SMALL,
                   space=(("C", 1e-3, 1e1, True, False), ("target_features", 2, 5, False, True)),
                   params=SearchParams(startup=2)).drop("pruned")
 
@@ -215,14 +222,14 @@ def _(c):
 @query("x2_additive_contributions", 3)
 def _(c):
     model = additive(c)
-    return contributions(rows(c, "test"), model, ["stay_id", "l_linenumber"]).groupBy(
+    return contributions(stored(c, "test"), model, ["stay_id", "l_linenumber"]).groupBy(
         "feature").agg(F.count("*").alias("n"), F.avg(F.abs("contribution_logodds")).alias("size"))
 
 
 @query("x3_permutation_importance", 3)
 def _(c):
-    model = fit_gbt(rows(c, "train"), FEATURES, "y", SMALL)
-    test = rows(c, "test").withColumn("row_key", F.concat_ws(
+    model = fit_gbt(stored(c, "train"), FEATURES, "y", SMALL)
+    test = stored(c, "test").withColumn("row_key", F.concat_ws(
         "|", "stay_id", "l_linenumber", "quantity", "price", "discount"))
     return importance.permutation_importance(test, model, "y", None, ("row_key",))
 
@@ -232,7 +239,7 @@ def _(c):
     """Mean attributions of boosted trees over the test rows."""
     from landmarkflow.explain.attributions import mean_attributions
 
-    return mean_attributions(rows(c, "test"), fit_gbt(rows(c, "train"), FEATURES, "y", SMALL))
+    return mean_attributions(stored(c, "test"), fit_gbt(stored(c, "train"), FEATURES, "y", SMALL))
 
 
 @query("x4_linear_sheet", 6)

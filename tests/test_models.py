@@ -389,6 +389,33 @@ def test_permutation_keeps_the_column_and_ranks_it(toy):
     assert imp["f0"] > imp["f3"]
 
 
+def test_permutation_orders_rows_once_for_all_features(toy, monkeypatch):
+    _, df = toy
+    model = fit_gbt(df, FEATS, "y", ModelConfig(trees=3, tree_depth=2))
+    calls, ranked = [], importance.rank_in_order
+    monkeypatch.setattr(importance, "rank_in_order",
+                        lambda *a: calls.append(a[-1]) or ranked(*a))
+    got = {r["feature"]: r["auroc_shuffled"] for r in importance.permutation_importance(
+        df, model, "y", FEATS, ("row_id",)).collect()}
+    assert len(calls) == 2 and set(got) == set(FEATS)
+    for f in FEATS:
+        alone = importance.auroc(model.score(importance.shuffled(df, f, ["row_id"])).select(
+            "y", "p")).first()["auroc"]
+        assert got[f] == pytest.approx(alone, abs=1e-12)
+
+
+def test_fits_read_rows_that_were_joined_once(spark, sf_dir):
+    from landmarkflow.plans import queries_models
+    from landmarkflow.plans.registry import Context
+
+    c = Context(spark, sf_dir)
+    train = queries_models.stored(c, "train")
+    assert "Join" not in train._jdf.queryExecution().toString()
+    assert sorted(queries_models.stored(c).inputFiles()) == sorted(train.inputFiles())
+    assert train.exceptAll(queries_models.rows(c, "train")).isEmpty()
+    assert queries_models.rows(c, "train").exceptAll(train).isEmpty()
+
+
 def test_search_orders_trials_and_resumes(toy, tmp_path):
     _, df = toy
     space = [{"C": 0.001, "target_features": 1}, {"C": 1.0, "target_features": 4}]
