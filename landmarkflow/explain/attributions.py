@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landmarkflow.models.base import FittedModel
-from landmarkflow.models.blocks import as_doubles, bin_rows
+from landmarkflow.models.blocks import as_doubles, bin_rows, binned
 
 
 def leaf_paths(tree: dict) -> list:
@@ -75,7 +75,12 @@ def attribute(bins: np.ndarray, trees, width: int) -> np.ndarray:
             features = list(path)
             met = np.stack([(bins[:, f] > path[f][1]) & (bins[:, f] <= path[f][2])
                             for f in features], axis=1)
-            patterns, which = np.unique(met, axis=0, return_inverse=True)
+            if len(features) < 63:  # a pattern is a number
+                code = met @ (1 << np.arange(len(features), dtype=np.int64))
+                _, first, which = np.unique(code, return_index=True, return_inverse=True)
+                patterns = met[first]
+            else:
+                patterns, which = np.unique(met, axis=0, return_inverse=True)
             values = path_values(patterns.astype(float),
                                  np.array([path[f][0] for f in features]))
             out[:, features] += value * values[which.ravel()]
@@ -112,8 +117,24 @@ def tree_attributions(df: DataFrame, model: FittedModel, keys) -> DataFrame:
 
 
 def mean_attributions(df: DataFrame, model: FittedModel) -> DataFrame:
-    """``(feature, mean_abs, mean)`` over all rows given."""
-    rows = tree_attributions(df, model, [])
-    return rows.groupBy("feature").agg(
-        F.avg(F.abs("contribution_logodds")).alias("mean_abs"),
-        F.avg("contribution_logodds").alias("mean"))
+    """``(feature, mean_abs, mean)`` over all rows given.
+
+    Rows of the same bins have the same attributions, so they are counted first."""
+    features, e = model.features, model.extra
+    trees, width = e["trees"], len(features)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16)
+                n = batch.column(1).to_numpy().astype(float)
+                found = attribute(bins.reshape(-1, width), trees, width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(features), pa.array(n @ np.abs(found)), pa.array(n @ found),
+                     pa.array(np.full(width, n.sum()))], names=["feature", "size", "sum", "n"])
+
+    counts = binned(df, features, e["edges"], e["medians"]).groupBy("bins").count()
+    sums = counts.mapInArrow(run, "feature string, size double, sum double, n double")
+    n = F.sum("n")
+    return sums.groupBy("feature").agg((F.sum("size") / n).alias("mean_abs"),
+                                       (F.sum("sum") / n).alias("mean"))

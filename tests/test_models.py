@@ -331,6 +331,30 @@ def test_tree_attributions_equal_sums_over_coalitions(spark, toy):
     assert table.filter("value is null").count() == pdf["f1"].isna().sum()
 
 
+def test_mean_attributions_work_on_distinct_rows(toy, monkeypatch, tmp_path):
+    from landmarkflow.explain import attributions
+
+    _, df = toy
+    model = fit_gbt(df, FEATS, "y", ModelConfig(trees=4, tree_leaves=9, tree_min_rows=10), bins=8)
+    log, plain = str(tmp_path / "rows"), attributions.attribute
+
+    def counted(bins, trees, width):
+        with open(log, "a") as f:
+            f.write(f"{len(bins)}\n")
+        return plain(bins, trees, width)
+
+    monkeypatch.setattr(attributions, "attribute", counted)
+    want = {r["feature"]: r for r in attributions.tree_attributions(df, model, []).groupBy(
+        "feature").agg(F.avg(F.abs("contribution_logodds")).alias("mean_abs"),
+                       F.avg("contribution_logodds").alias("mean")).collect()}
+    open(log, "w").close()
+    copies = df.unionByName(df).unionByName(df)
+    for r in attributions.mean_attributions(copies, model).collect():
+        assert r["mean_abs"] == pytest.approx(want[r["feature"]]["mean_abs"], abs=1e-12)
+        assert r["mean"] == pytest.approx(want[r["feature"]]["mean"], abs=1e-12)
+    assert sum(map(int, open(log))) <= 500
+
+
 def plain_isotonic(p, pos, n):
     """Rate of every score by the minimum-maximum formula."""
     def mean(a, b):
