@@ -199,6 +199,36 @@ def test_planted_pair_ranks_first_among_many(spark):
     assert len(ranked) == 120 * 119 // 2 and ranked[0][1:] == ("x2", "x3")
 
 
+def test_additive_passes_go_over_distinct_rows(spark, monkeypatch):
+    """Each row five times in other folds and with other labels: one row of bins."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 4, size=(400, 2)).astype(float)
+    pdf = pd.DataFrame(np.tile(x, (5, 1)), columns=["a", "b"])
+    pdf["y"] = (rng.uniform(size=2000) < 1 / (1 + np.exp(1.5 - pdf["a"]))).astype(int)
+    pdf["fold"] = rng.integers(0, 3, size=2000)
+    df, params = spark.createDataFrame(pdf), additive.AdditiveParams(8, 1, 3, rounds=200)
+    sizes, packed = [], additive.pack_counts
+
+    def counted(*args):
+        out = packed(*args)
+        sizes.append(out.agg(F.sum("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(additive, "pack_counts", counted)
+    got = fit_additive(df, ["a", "b"], "y", params, "fold")
+    assert sizes == [16]
+
+    def single(df, features, edges, medians, y, fold, folds, name, folder):
+        return additive.pack_rows(df, features, edges, medians, [y, fold], name, folder)
+
+    monkeypatch.setattr(additive, "pack_counts", single)
+    want = fit_additive(df, ["a", "b"], "y", params, "fold")
+    assert got.extra["pairs"] == want.extra["pairs"]
+    assert got.extra["intercept"] == pytest.approx(want.extra["intercept"], abs=1e-8)
+    for a, b in zip(got.extra["shapes"], want.extra["shapes"], strict=True):
+        assert a == pytest.approx(b, abs=1e-8)
+
+
 def test_additive_edge_cases(spark):
     """Gaps count at the median; constant columns, one class and one feature are fine."""
     rows = [(float(k % 7) if k % 5 else None, 3.0, k % 2, k % 2) for k in range(60)]
