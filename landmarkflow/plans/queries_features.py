@@ -115,9 +115,10 @@ def _(c):
 
 @query("g7_pivot", 9)
 def _(c):
-    wide = ro.rolling_by_window(c.wf.stay_landmarks, c.all_signals, (6, 24), c.cfg.landmarks)
-    lm = c.wf.stay_landmarks.select("stay_id", "landmark_idx", "landmark_time")
     kinds = ["click", "purchase", "refund"]  # the last one never occurs: schema stays fixed
+    wide = ro.rolling_by_window(c.wf.stay_landmarks, ro.fold_signals(c.all_signals, kinds),
+                                (6, 24), c.cfg.landmarks)
+    lm = c.wf.stay_landmarks.select("stay_id", "landmark_idx", "landmark_time")
     return lm.join(ft.pivot_features(wide, kinds, (6, 24)), ["stay_id", "landmark_idx"]).drop(
         "landmark_idx")
 

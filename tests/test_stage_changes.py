@@ -9,6 +9,7 @@ from landmarkflow.config import StagingConfig
 from landmarkflow.functions.timefns import DAY_US, HOUR_US
 from landmarkflow.operators import concepts as cc
 from landmarkflow.operators.features import pivot_features
+from landmarkflow.operators.rolling import fold_signals
 from landmarkflow.operators.windows import trailing_min
 
 T0 = datetime(2024, 1, 1, 0, 30)
@@ -87,3 +88,11 @@ def test_pivot_computes_only_columns_asked_for(spark):
     plan = out.select("x_mean_6h")._jdf.queryExecution().optimizedPlan().toString()
     assert "count_6h" not in plan.split("LogicalRDD")[0]
     assert out.agg(F.count("*")).first()[0] == 1
+
+
+def test_folded_signals_keep_landmarks_and_listed_values(spark):
+    rows = [(1, "x", T0, 1.0), (1, "u", T0, 2.0), (2, "u", T0, 3.0), (2, "v", T0, 4.0)]
+    ev = spark.createDataFrame(rows, "stay_id long, feature_name string, t timestamp_ntz, "
+                                     "value double")
+    got = fold_signals(ev, ["x", "z"]).groupBy("stay_id", "feature_name").count().collect()
+    assert sorted(map(tuple, got)) == [(1, "other", 1), (1, "x", 1), (2, "other", 2)]
