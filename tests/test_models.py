@@ -12,6 +12,7 @@ from landmarkflow.models import additive, boosted, isotonic, scorecard
 from landmarkflow.models.additive import fit_additive
 from landmarkflow.models.base import FittedModel, calibrate
 from landmarkflow.models.boosted import fit_gbt
+from landmarkflow.models.design import feature_profiles
 from landmarkflow.models import tune
 from landmarkflow.models.train import fit_model
 from landmarkflow.models.tune import search
@@ -470,6 +471,35 @@ def test_fits_read_rows_that_were_joined_once(spark, sf_dir):
     assert queries_models.rows(c, "train").exceptAll(train).isEmpty()
 
 
+def test_profiles_cuts_and_folds_go_through_the_rows_once(spark, toy):
+    pdf, _ = toy
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    pdf = pdf.assign(fold=pdf["subject_id"] % 2)
+    df = spark.createDataFrame(pdf).repartition(2)
+    df = df.mapInArrow(counted, df.schema)
+    # values, class counts and the packing; the trees read blocks
+    model = fit_gbt(df, FEATS, "y", ModelConfig(trees=2))
+    assert passed.value == 3 * len(pdf)
+    for f in FEATS:
+        values = pdf[f].dropna().to_numpy()
+        want = np.unique(np.quantile(values, np.arange(1, 255) / 255))
+        assert model.extra["medians"][f] == pytest.approx(np.median(values))
+        assert model.extra["edges"][f] == pytest.approx(want[want > values.min()].tolist())
+    passed.value = 0
+    assert scorecard.fold_profiles(df, FEATS, "fold")[0]["f0"][0] == pytest.approx(
+        pdf["f0"][pdf["fold"] == 1].median())
+    assert passed.value <= 2 * len(pdf)  # which folds there are, and their values
+    passed.value = 0
+    assert feature_profiles(df, FEATS).count() == len(FEATS)
+    assert passed.value == len(pdf)
+
+
 def test_search_orders_trials_and_resumes(toy, tmp_path):
     _, df = toy
     space = [{"C": 0.001, "target_features": 1}, {"C": 1.0, "target_features": 4}]
