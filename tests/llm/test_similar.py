@@ -5,6 +5,7 @@ import random
 import helpers as H
 from pyspark.sql import functions as F
 
+from landmarkflow.llm import line_dedup
 from landmarkflow.llm.components import connected
 from landmarkflow.llm.jaccard_join import JoinParams, join_documents, one_of_each
 from landmarkflow.llm.line_dedup import LineParams, clean_lines, dedup_lines
@@ -136,6 +137,21 @@ def test_line_dedup_equals_brute_force(spark):
             assert sum(got[i] == want[i] for i in range(len(texts))) >= len(texts) - 1
 
 
+def test_band_keys_are_short_and_bands_go_in_turns(spark, monkeypatch):
+    rng = random.Random(5)
+    base = prose(rng, 30)
+    texts = ["\n".join(near_copies(rng, base, 3, 0.02)) for _ in range(20)]
+    docs = H.table(spark, texts).selectExpr("doc_id g1", "0 g2", "text body")
+    names, whole = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, name, folder: (
+        names.append(name), whole(df, name, folder))[1])
+    lines = line_dedup.sketch_lines(docs, LineParams())
+    assert dict(lines.dtypes)["bands"] == "array<int>"
+    edges = line_dedup.bucket_edges(lines, LineParams(), run_folder(spark)).collect()
+    ids = {r.line_id for r in lines.collect()}
+    assert len(names) == 2 and edges and {x for e in edges for x in e} <= ids
+
+
 def test_line_dedup_judges_short_lines(spark):
     texts = ["Home\nx\n\n3 of 4", "  HOME\n\nread more here", "home \nread more here\nhome page",
              "X\n3 of 4\n3 of 5\n \n", "aaaaaaaa\naaaaaaaaa\naaaaaaa", "read our terms, 2024\nx y",
