@@ -24,7 +24,7 @@ from landmarkflow.llm.components import connected
 from landmarkflow.llm.decontaminate import words_of
 from landmarkflow.llm.keys import fields, positional
 from landmarkflow.llm.setpairs import deal, forest, verify
-from landmarkflow.llm.textbytes import chunks, gram_hashes, mix, signed, whole_groups
+from landmarkflow.llm.textbytes import chunks, distinct, gram_hashes, mix, signed, whole_groups
 from landmarkflow.llm.steps import run_folder, written
 
 
@@ -67,7 +67,7 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         for w in own:
             code = mix(np.array([code ^ w], np.uint64))[0]
         grams, of = np.append(grams, code), np.append(of, r)
-    packed = np.unique(of.astype(np.uint64) << np.uint64(48) | grams >> np.uint64(16))
+    packed = distinct(of.astype(np.uint64) << np.uint64(48) | grams >> np.uint64(16))
     return packed & np.uint64((1 << 48) - 1), (packed >> np.uint64(48)).astype(np.int64)
 
 
